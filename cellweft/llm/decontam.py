@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import _text as T
 from ._store import BATCH_BYTES
@@ -249,9 +250,9 @@ def search(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")] if keep_rows else []))
     kept = ["doc_id"] + ["row"] * keep_rows
-    extra = "" if not keep_rows else f", row {docs.schema['row'].dataType.simpleString()}"
     shared = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, window, block_bytes)]
-    schema = "doc_id bigint" + extra + ", n_words bigint, n_hit bigint, items array<string>, longest array<struct<item:string,item_word:int,word:int,words:int>>"
+    more = StructType.fromDDL("n_words bigint, n_hit bigint, items array<string>, longest array<struct<item:string,item_word:int,word:int,words:int>>")
+    schema = StructType([docs.schema[c] for c in kept] + more.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -71,7 +71,7 @@ def _draw(*parts) -> float:
     return xxhash.xxh64_intdigest(repr(parts).encode(), 11) / 2**64
 
 
-def _round(ids: list, sizes: list[int], chance: list[float], extra: list[int], last: bool) -> list[float]:
+def _round(ids: list, sizes: list[int], chance: list[float], last: bool) -> list[float]:
     """Pivotal rounding along a list; returns the chances, at most one not 0 or 1 (none if ``last``)."""
     out = list(chance)
     live = -1
@@ -110,7 +110,7 @@ def _reduce(rows: DataFrame, last: bool) -> DataFrame:
         held: list[dict] = []
 
         def done(group: list[dict]) -> pa.RecordBatch:
-            got = _round([r["doc_id"] for r in group], [r["size"] for r in group], [r["chance"] for r in group], [], last)
+            got = _round([r["doc_id"] for r in group], [r["size"] for r in group], [r["chance"] for r in group], last)
             for r, c in zip(group, got, strict=True):
                 r["chance"] = c
             return pa.RecordBatch.from_pylist(group, schema=kind)
