@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import keep
@@ -131,10 +131,14 @@ def _reduce(rows: DataFrame, last: bool) -> DataFrame:
     return rows.repartition(n, "source", "node").sortWithinPartitions(*order).mapInArrow(run, _ROW)
 
 
+def words(text: str) -> Column:
+    """Words of a text column; a null text has none."""
+    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken (words) of each row."""
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = keep(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    rows = keep(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), words("text").alias("size")), "sizes")
     return _decide(rows, weights, limit)
 
 
