@@ -7,8 +7,9 @@ The targets are a water level: target = min(limit x size, level x weight).
 A document of its source's rate r = target / size is taken floor(r) times and
 once more with probability frac(r).  These probabilities are rounded in pairs:
 mass, in words, moves at random from one document of a pair to the other until
-one probability is 0 or 1.  Every probability keeps its mean, and the words a
-source yields change only by its last document.  Documents meet in leaves of
+one probability is 0 or 1.  Pairs keep the words a source yields; the choice for
+its last document is balanced by others of that task, as far as their sizes fit,
+so small sources come near their targets too.  Documents meet in leaves of
 about ``LEAF`` documents of one source; each leaf leaves at most one document
 undecided, and these meet again in a tree of ``FAN`` children a node, so no task
 gets a whole source.  Draws are hashes, leaves follow from hashes and counts,
@@ -96,7 +97,14 @@ def _round(ids: list, sizes: list[int], chance: list[float], last: bool) -> list
             out[i], out[j] = (0.0 if i_done else out[i] - move / a), (1.0 if j_done else out[j] + move / b)
         live = j if 0.0 < out[j] < 1.0 else i if 0.0 < out[i] < 1.0 else -1
     if last and live >= 0:
-        out[live] = 1.0 if _draw(ids[live], sizes[live], "last") < out[live] else 0.0
+        up = _draw(ids[live], sizes[live], "last") < out[live]
+        over = (1 - out[live] if up else -out[live]) * sizes[live]
+        out[live] = 1.0 if up else 0.0
+        # words too many or too few by this last choice go to documents that fit, largest first
+        for k in sorted(range(len(out)), key=lambda k: (-sizes[k], k)):
+            if k != live and 0.0 < chance[k] < 1.0 and out[k] == (1.0 if up else 0.0) and sizes[k] <= abs(over):
+                out[k] = 0.0 if up else 1.0
+                over -= sizes[k] if up else -sizes[k]
     return out
 
 
