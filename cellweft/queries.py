@@ -645,7 +645,10 @@ def pileup(s, d):
 
 @query()
 def call_peaks(s, d):
-    return peaks.call(_fragments(s, d), 4e6, min_length=100, max_gap=50).select("chrom", "start", "end", "summit", "depth", F.round("neg_log10_p", 4).alias("neg_log10_p"))
+    # fragments that crowd in stretches of 150 positions, two thousand apart
+    start = (F.col("l_partkey") % 50) * 2000 + F.col("l_orderkey") % 150
+    crowded = table(s, d, "lineitem").select(F.concat(F.lit("chr"), F.col("l_suppkey") % 4).alias("chrom"), start.alias("start"), (start + 60).alias("end"), F.lit("c").alias("barcode"))
+    return peaks.call(crowded, 4e5).select("chrom", "start", "end", "summit", "depth", F.round("neg_log10_p", 4).alias("neg_log10_p"))
 
 
 @query("""with m as (select l_suppkey as feature, sum(l_quantity) / 1000 as mean, (sum(l_quantity * l_quantity) - sum(l_quantity) * sum(l_quantity) / 1000) / 999 as variance from lineitem group by all) select feature from m order by variance desc, feature limit 20""")
