@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids, intervals, scores
-from .operators import assignment, counting, dataset, demux, embedding, families, guidance, matrix, metacells, neighbours, peaks, qc, range_joins, support, transforms
+from .operators import assignment, clusters, counting, dataset, demux, embedding, families, guidance, joins, latent, matrix, metacells, neighbours, peaks, qc, range_joins, support, transforms
 from .operators.causal import priors, runner
 from .sources.delimited import expand_barcodes, first_per, guidance_graph
 
@@ -696,6 +696,100 @@ def edge_weights(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(intervals.edge_weight(F.col("l_partkey"), "exp", 0.7, 500.0), 6).alias("exp_weight"), F.round(intervals.edge_weight(F.col("l_partkey"), "power"), 6).alias("power_weight"))
 
 
+# Joins that attach tables, and further statistics.
+
+
+@query("""select l_orderkey || '-1' as barcode, l_linenumber, o_orderpriority as priority, o_orderkey is not null as matched from lineitem left join (select * from orders where o_orderstatus = 'F') on l_orderkey = o_orderkey""")
+def attach_metadata(s, d):
+    obs = table(s, d, "lineitem").select(F.concat(F.col("l_orderkey"), F.lit("-1")).alias("barcode"), "l_linenumber")
+    cells = table(s, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.col("o_orderkey"), F.lit("-3")).alias("barcode"), F.col("o_orderpriority").alias("priority"))
+    return joins.attach_metadata(obs, cells)
+
+
+@query("""with m as (select o_orderkey is not null as hit from lineitem left join (select * from orders where o_orderstatus = 'F') on l_orderkey = o_orderkey) select count(*) as n, count(*) filter (hit) as n_matched, round(count(*) filter (hit) / count(*), 6) as fraction from m""")
+def matched_fraction(s, d):
+    return joins.matched_fraction(attach_metadata(s, d)).withColumn("fraction", F.round("fraction", 6))
+
+
+@query("""select p_partkey, p_partkey in (select l_partkey from lineitem where l_quantity >= 48) as popular from part""")
+def flag_lookup(s, d):
+    flags = table(s, d, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("popular", F.lit(True))
+    return joins.flag_lookup(table(s, d, "part").select("p_partkey"), flags, "p_partkey", "popular")
+
+
+@query("""with c as (select case when c_acctbal < 0 then null when c_nationkey = 3 then 'unknown' else c_mktsegment end as coarse, case when c_nationkey = 5 then null else c_name end as fine from customer)
+select 'coarse' as "column", count(*) filter (coarse is null) as n_null, count(*) filter (coarse = 'unknown') as n_unknown, count(*) as n from c union all select 'fine', count(*) filter (fine is null), count(*) filter (fine = 'unknown'), count(*) from c""")
+def unmapped_counts(s, d):
+    coarse = F.when(F.col("c_acctbal") < 0, None).when(F.col("c_nationkey") == 3, "unknown").otherwise(F.col("c_mktsegment"))
+    rows = table(s, d, "customer").select(coarse.alias("coarse"), F.when(F.col("c_nationkey") != 5, F.col("c_name")).alias("fine"))
+    return joins.unmapped_counts(rows, ["coarse", "fine"])
+
+
+@query("""select count(*) as n, round(avg(cast(a.m = b.m as int)), 6) as agreement from (select o_orderkey, o_orderstatus as m from orders) a join (select l_orderkey, min(l_linestatus) as m from lineitem group by all) b on o_orderkey = l_orderkey""")
+def label_agreement(s, d):
+    a = table(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("label"))
+    b = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.min("l_linestatus").alias("label"))
+    return joins.label_agreement(a, b, "key", "label").withColumn("agreement", F.round("agreement", 6))
+
+
+@query(f"""with {POINTS}, n as (select a.id as q, b.id as r from pt a join pt b on a.id <> b.id qualify row_number() over (partition by a.id order by list_distance(a.emb, b.emb), b.id) <= 8)
+select least(q, r) as a, greatest(q, r) as b, cast(count(*) as double) as weight from n group by all""")
+def neighbour_graph(s, d):
+    return clusters.neighbour_graph(_points(s, d), 8)
+
+
+@query()
+def communities(s, d):
+    return clusters.label_propagation(clusters.neighbour_graph(_points(s, d), 8))
+
+
+@query("""with n as (select o_custkey % 50 as metacell, o_orderstatus as label, count(*) as n from orders where o_orderpriority not like '1%' group by all)
+select metacell, label as majority_label, round(n / sum(n) over (partition by metacell), 6) as purity from n qualify row_number() over (partition by metacell order by n desc, label) = 1""")
+def metacell_purity(s, d):
+    rows = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("metacell"), "o_orderstatus", "o_orderpriority")
+    got = metacells.purity(rows.select("id", "metacell"), rows.where("o_orderpriority not like '1%'").select("id", F.col("o_orderstatus").alias("label")))
+    return got.withColumn("purity", F.round("purity", 6))
+
+
+@query("""with m as (select greatest(median(l_extendedprice) filter (l_extendedprice > 0), 1) as mid from lineitem) select l_orderkey, l_linenumber, round(greatest(l_extendedprice / mid, 1e-6), 6) as size from lineitem cross join m""")
+def size_factors(s, d):
+    return families.size_factors(table(s, d, "lineitem").withColumn("library", F.col("l_extendedprice"))).select("l_orderkey", "l_linenumber", F.round("size", 6).alias("size"))
+
+
+@query(f"""with {PEAKS}, {GENES}, n as (select gene, peak.chrom || ':' || peak.s || '-' || peak.e || '__' || mark as v, peak.chrom, peak.s, peak.e from peak join gene on peak.chrom = gene.chrom and peak.e > greatest(tss - 5000, 0) and peak.s < tss + 5000),
+c as (select gene, chrom, tss + k * 1000 as s, tss + k * 1000 + 700 as e, 'r' || k as name, k from gene, (select unnest([0, 1, 2]) as k))
+select n.gene, v as variable_name, coalesce(string_agg(name, ';' order by k), '') as curated_regions, count(name) > 0 as overlaps_curated from n left join c on n.gene = c.gene and n.chrom = c.chrom and n.s < c.e and n.e > c.s group by all""")
+def curated_overlaps(s, d):
+    k = F.explode(F.array(*map(F.lit, range(3))))
+    loci = _genes(s, d).select("gene", "chrom", "tss", k.alias("pos")).select("gene", "chrom", (F.col("tss") + F.col("pos") * 1000).alias("start"), (F.col("tss") + F.col("pos") * 1000 + 700).alias("end"), F.concat(F.lit("r"), F.col("pos")).alias("region_name"), "pos")
+    return dataset.curated_overlaps(nearby_peaks(s, d), loci).select("gene", "variable_name", "curated_regions", "overlaps_curated")
+
+
+@query(f"""with {PEAKS}, {GENES}, {LINKS} select s_name as feature, cast(count(distinct feature) > 0 as int) as feature_available, cast(count(distinct feature) as int) as n_peak_links from supplier left join link on s_name = gene group by all""")
+def feature_availability(s, d):
+    return guidance.availability(table(s, d, "supplier").select(F.col("s_name").alias("feature")), _links(s, d))
+
+
+@query(f"""with {PEAKS}, {GENES}, {LINKS} select mark, count(*) as n_pairs, count(distinct feature) as n_peaks, count(distinct gene) as n_genes from link group by all""")
+def link_stats(s, d):
+    return guidance.link_stats(_links(s, d))
+
+
+@query("""select l_suppkey as variable, cast(l_linenumber as bigint) as k, round(case when s > 0 then (x - m) / s else x - m end, 6) as value from (select l_suppkey, l_linenumber, x, avg(x) over w as m, stddev_samp(x) over w as s from (select l_suppkey, l_linenumber, sum(l_quantity) as x from lineitem group by all) window w as (partition by l_suppkey))""")
+def centre_and_scale(s, d):
+    rows = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("variable"), F.col("l_linenumber").cast("bigint").alias("k")).agg(F.sum("l_quantity").alias("value"))
+    return transforms.centre_and_scale(rows).select("variable", "k", F.round("value", 6).alias("value"))
+
+
+@query()
+def latent_space(s, d):
+    half = F.when(F.col("id") % 2 == 0, "rna").otherwise("chrom_A")
+    x = F.slice("emb", 1, 16)
+    cells = _points(s, d).select(F.col("id").alias("cell"), half.alias("modality_key"), x.alias("x"), F.transform(x, lambda v: F.lit(1.0)).alias("available"))
+    model, _ = latent.fit(cells, 16, latent=4, hidden=16, epochs=10)
+    return latent.encode(cells, model).select("cell", "modality_key", F.size("emb").alias("dims"))
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Clean cells and their library-normalised feature counts, end to end."""
     cells = clean_cells(s, d).select(F.col("barcode").cast("bigint").alias("cell"), "donor_id")

@@ -70,3 +70,25 @@ def graph_method(folder: str | Path) -> str:
 
 def peaks_path(root: str | Path, mark: str, prefix: str) -> str:
     return str(Path(root) / mark / f"{prefix}_peaks.bed")
+
+
+def saved_graph(spark: SparkSession, folder: str | Path) -> tuple[str, DataFrame, list[str]]:
+    """Method, edges and nodes of a saved graph: nodes from its summary, else from the edges."""
+    import json
+
+    from . import delimited
+
+    method = graph_method(folder)
+    edges = delimited.tsv(spark, str(Path(folder) / f"{method}_edges.tsv"), ["node1", "endpoint1", "node2", "endpoint2"])
+    summary = Path(folder) / "summary.json"
+    if summary.exists():
+        return method, edges, json.loads(summary.read_text())["variables"]
+    return method, edges, sorted({n for r in edges.select("node1", "node2").distinct().collect() for n in r})
+
+
+def quant_mode(summary: str | Path) -> str | None:
+    """Scale of a dataset by its summary, if it has one."""
+    import json
+
+    path = Path(summary)
+    return json.loads(path.read_text()).get("quant_mode") if path.exists() else None

@@ -139,13 +139,13 @@ def test_archive(spark, tmp_path):
 
 def test_bundle(spark, tmp_path):
     obs = spark.createDataFrame([("c1",), ("c2",)], "cell string")
-    emb = spark.createDataFrame([("c1", "glue", [1.0, 2.0])], "cell string, key string, emb array<double>")
+    emb = spark.createDataFrame([("c1", "latent", [1.0, 2.0])], "cell string, key string, emb array<double>")
     entries = spark.createDataFrame([(0, 0, 1.0)], "row_idx bigint, col_idx bigint, value double")
     bundle.write(f"{tmp_path}/b", obs, obs, {"counts": entries}, emb, {"a": [1]})
     assert bundle.read_obs(spark, f"{tmp_path}/b").count() == bundle.read_var(spark, f"{tmp_path}/b").count() == 2
     assert bundle.read_layer(spark, f"{tmp_path}/b").first().value == 1.0 and bundle.read_uns(spark, f"{tmp_path}/b") == {"a": [1]}
-    wide = bundle.embeddings_wide(bundle.read_embedding(spark, f"{tmp_path}/b", "glue"), "GLUE", 2)
-    assert bundle.embeddings_long(wide, "GLUE").first().emb == [1.0, 2.0]
+    wide = bundle.embeddings_wide(bundle.read_embedding(spark, f"{tmp_path}/b", "latent"), "LAT", 2)
+    assert bundle.embeddings_long(wide, "LAT").first().emb == [1.0, 2.0]
     both = bundle.concat_modalities({"rna": obs, "chrom_H": obs.withColumn("mark", F.lit("H"))})
     assert both.count() == 4 and both.where("mark is null").count() == 2
 
