@@ -59,6 +59,11 @@ def normalise(text: str) -> bytes:
     return b" ".join(word for word, _ in groupby(text.lower().encode().translate(_LETTERS).split()))
 
 
+def framed(piece: bytes) -> bytes:
+    """A piece with spaces round it: the format never matches a block's last bytes, so these shouldn't be the text's."""
+    return b"  " + piece + b" " * 24
+
+
 def compressors(dictionaries: dict[str, bytes]) -> list:
     able = []
     for content in dictionaries.values():
@@ -101,7 +106,7 @@ def _predictor(shared, margin: float, keep: list[str]):
                     pred.append(UNKNOWN)
                     continue
                 text = normalise(view[offsets[d] : offsets[d + 1]].decode())
-                parts = [text[a:b] for a, b in _bounds(text)]
+                parts = [framed(text[a:b]) for a, b in _bounds(text)]
                 total = [sum(len(c(p)) for p in parts) for c in able]
                 best = min(range(len(names)), key=total.__getitem__)
                 pred.append(names[best])
