@@ -8,7 +8,7 @@ the mix takes the document), ``size`` and ``target``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweft.llm import decontam, langid, linededup, mixing, simhash
@@ -27,11 +27,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one of least doc_id."""
-    classes = simhash.near_duplicates(docs)
-    stay = keep(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct(), "stay")
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
-    again = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
-    return kept.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
+    classes = keep(simhash.near_duplicates(docs), "near")
+    gone = keep(classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    again = keep(classes.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "again")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    # rows that share a doc_id are one group, too: the longest stays
+    order = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
+    first = kept.join(again, same, "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    return kept.join(again, same, "left_anti").unionByName(first)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +47,22 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document."""
-    decided = mixing.mix(docs).select("doc_id", "size", "target", "copies")
-    # rows of one doc_id are told apart by their place among them
-    same = decided.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("size", "copies", "target"))).alias("mixed")).withColumnRenamed("doc_id", "mixed_id")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(mixing.words("text"), F.xxhash64("text", "source")))
-    both = docs.withColumn("_place", place).join(keep(same, "mixed"), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    got = both.withColumn("_got", F.element_at("mixed", F.col("_place")))
-    got = got.where("_got.copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_got.copies"))))
-    return got.select(*(F.col(f"`{c}`") for c in docs.columns), "copy", F.col("_got.size").alias("size"), F.col("_got.target").alias("target"))
+    decided = mixing.mix(docs)
+    # rows are known by doc_id, source and size; those that share all three by their place among them.
+    # One set of keys for window and join: the texts are dealt out once.
+    decided = keep(_placed(decided, F.col("size")).select(*_KEYS, "copies", "target").withColumnsRenamed({k: f"{k}2" for k in _KEYS}), "decided")
+    rows = _placed(docs.withColumn("_size", mixing.words("text")), F.col("_size"))
+    got = rows.join(decided, [F.col(k) == F.col(f"{k}2") for k in _KEYS])
+    got = got.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return got.select(*(F.col(f"`{c}`") for c in docs.columns), "copy", F.col("_key_size").alias("size"), "target")
+
+
+_KEYS = ["_key", "_key_size", "_key_place"]
+
+
+def _placed(rows: DataFrame, size: Column) -> DataFrame:
+    keyed = rows.withColumns({"_key": F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))), "_key_size": size})
+    return keyed.withColumn("_key_place", F.row_number().over(Window.partitionBy("_key", "_key_size").orderBy("doc_id")))
 
 
 STAGES = [
