@@ -2,16 +2,18 @@
 
 Each line is parsed by a tree of fixed depth: its token count, then its first
 ``DEPTH`` tokens (a token with a digit is a variable).  In a leaf, a line joins
-the template it shares most tokens with if these are at least ``SIMILAR`` of
-all, and positions that differ become variable fields; else it starts a
-template.  Lines come in order of documents, then hash, so reruns agree.  A
+the template it shares most positions with, variables included, if these are at
+least ``SIMILAR`` of all, and positions that differ become variable fields; else
+it starts a template.  Lines come in order of documents, then hash, so reruns agree.  A
 template found in ``MIN_DOCS`` or more documents recurs: its lines stay in the
 document of least id that has it and are dropped elsewhere.
 
 Equal lines of a batch are one row with the least ``MIN_DOCS`` document ids
 that hold it, which is all that the count of documents needs; so a line that
-most documents share is a few rows.  Leaves are dealt out by hash and streamed:
-a task holds one leaf's distinct lines at a time.
+most documents share is a few rows.  Leaves are dealt out by hash and streamed.
+A leaf of more than ``LARGE`` rows is dealt out in parts by the lines' hash, each
+part is parsed alone, and the parts' templates, not their lines, are parsed
+again into the leaf's; so a task holds one part's lines or one leaf's templates.
 
 Defined cases: a null text stays null and has no lines; lines without a word and
 of fewer than ``MIN_TOKENS`` tokens are never dropped; null doc_ids count as one
@@ -37,6 +39,8 @@ DEPTH = 3
 SIMILAR = 0.7
 MIN_DOCS = 3
 MIN_TOKENS = 3
+#: Rows of a leaf from which it is parsed in parts.
+LARGE = 20_000
 #: Recurring lines that are sent to every task; beyond it they are joined.
 BROADCAST_LINES = 2_000_000
 _NO_ID = -(1 << 63)
@@ -130,53 +134,94 @@ def parse_leaf(lines: list[tuple[int, tuple[int, ...], bytes]], most: int = MIN_
     return [(m, sorted(d), table[k]) for k, (m, d) in enumerate(zip(members, docs, strict=True))]
 
 
-def _parse(batches: Iterator[pa.RecordBatch], most: int, similar: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by leaf; gives the lines of recurring templates."""
+_PARSED = "line bigint, template bigint, first_doc bigint, leaf bigint, docs array<bigint>, tokens binary"
+
+
+def _name(*parts: bytes) -> int:
+    """A template's 64-bit name."""
+    data = b"".join(parts)
+    words = np.frombuffer(data.ljust(-(-len(data) // 8) * 8, b"\0"), np.uint64)
+    return int(T.mix(words + np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum().view(np.int64))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 32768) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``rows`` rows that hold whole groups; rows come sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            border = np.flatnonzero(_change(whole, keys))
+            if len(border):
+                last = int(border[-1]) + 1
+                yield whole.slice(0, last)
+                held = [whole.slice(last)]
+                size -= last
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _change(table: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Whether each row but the last differs from the next in a key."""
+    out = np.zeros(max(0, table.num_rows - 1), bool)
+    for k in keys:
+        v = table.column(k).to_numpy()
+        out |= v[1:] != v[:-1]
+    return out
 
-    def emit(table: pa.RecordBatch) -> pa.RecordBatch:
-        leaf, line = table.column("leaf").to_numpy(), table.column("line").to_numpy()
-        listed = table.column("docs")
+
+def _parse(batches: Iterator[pa.RecordBatch], most: int, similar: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by leaf and part.  Gives the lines of recurring templates with their first document; of leaves in
+    parts it gives every template (leaf, docs, tokens) and every line with its template."""
+    for table in _groups(batches, ["leaf", "part"]):
+        leaf, part, parts = (table.column(c).to_numpy() for c in ("leaf", "part", "parts"))
+        line, tokens, listed = table.column("line").to_numpy(), table.column("tokens"), table.column("docs")
         docs, per = listed.flatten().to_numpy(), np.diff(listed.offsets.to_numpy())
-        # documents of each leaf: leaves with too few cannot have a recurring template
-        group = np.cumsum(np.concatenate([[0], leaf[1:] != leaf[:-1]]))
+        change = np.concatenate([[True], _change(table, ["leaf", "part"])])
+        group = np.cumsum(change) - 1
+        # documents of each group: a whole leaf with too few cannot have a recurring template
         pair = np.unique(np.stack([np.repeat(group, per), docs]), axis=1)[0] if len(docs) else np.zeros(0, np.int64)
-        enough = np.bincount(pair, minlength=group[-1] + 1) >= most
-        start = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
+        start = np.flatnonzero(change)
+        enough = (np.bincount(pair, minlength=len(start)) >= most) | (parts[start] > 1)
         stop = np.append(start[1:], len(leaf))
         cut = np.concatenate([[0], np.cumsum(per)])
-        tokens = table.column("tokens")
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple] = []
         for a, b in zip(start[enough].tolist(), stop[enough].tolist(), strict=True):
             ids: dict[int, set[int]] = {}
             text: dict[int, bytes] = {}
             for k in range(a, b):
-                ids.setdefault(int(line[k]), set()).update(docs[cut[k] : cut[k + 1]].tolist())
-                if int(line[k]) not in text:
-                    text[int(line[k])] = tokens[k].as_py()
+                h = int(line[k])
+                ids.setdefault(h, set()).update(docs[cut[k] : cut[k + 1]].tolist())
+                if h not in text:
+                    text[h] = tokens[k].as_py()
             got = [(h, tuple(sorted(d)[:most]), text[h]) for h, d in ids.items()]
             for members, found, template in parse_leaf(got, most, similar):
+                if parts[a] > 1:
+                    name = _name(leaf[a : a + 1].tobytes(), part[a : a + 1].astype(np.int64).tobytes(), template.tobytes())
+                    out.append((None, name, None, int(leaf[a]), found, template.tobytes()))
+                    out += [(m, name, None, None, None, None) for m in members]
+                elif len(found) >= most:
+                    name = _name(leaf[a : a + 1].tobytes(), template.tobytes())
+                    out += [(m, name, found[0], None, None, None) for m in members]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in _PARSED.split(", ")])
+
+
+def _merge(batches: Iterator[pa.RecordBatch], most: int, similar: float) -> Iterator[pa.RecordBatch]:
+    """Templates of parts, sorted by leaf, parsed into the leaf's: part's template, leaf's template, first document."""
+    for table in _groups(batches, ["leaf"]):
+        start = np.flatnonzero(np.concatenate([[True], _change(table, ["leaf"])]))
+        out: list[tuple[int, int, int]] = []
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), table.num_rows], strict=True):
+            rows = table.slice(a, b - a).to_pylist()
+            for members, found, template in parse_leaf([(r["template"], tuple(r["docs"]), r["tokens"]) for r in rows], most, similar):
                 if len(found) >= most:
-                    name = int(T.mix(np.frombuffer(template.tobytes().ljust(-(-len(template) // 2) * 8, b"\0"), np.uint64)).sum().view(np.int64))
+                    name = _name(np.int64(rows[0]["leaf"]).tobytes(), template.tobytes())
                     out += [(m, name, found[0]) for m in members]
         cols = np.array(out, np.int64).reshape(-1, 3)
-        return pa.RecordBatch.from_arrays([pa.array(cols[:, k]) for k in range(3)], names=["line", "template", "first_doc"])
-
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= 32768:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            leaf = whole.column("leaf").to_numpy()
-            border = np.flatnonzero(leaf[1:] != leaf[:-1])
-            if len(border):
-                last = int(border[-1]) + 1
-                yield emit(whole.slice(0, last))
-                held = [whole.slice(last)]
-                size -= last
-    if size:
-        yield emit(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[:, k]) for k in range(3)], names=["part_template", "template", "first_doc"])
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -184,18 +229,28 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
+def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, large: int = LARGE) -> DataFrame:
     """line (hash), template (hash) and first_doc of the lines of recurring templates."""
-    rows = _texts(documents).mapInArrow(lambda b: _rows(b, min_docs), "leaf bigint, line bigint, docs array<bigint>, tokens binary")
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "leaf").sortWithinPartitions("leaf")
-    return keep(rows.mapInArrow(lambda b: _parse(b, min_docs, similar), "line bigint, template bigint, first_doc bigint"), "lines")
-
-
-def dedup(documents: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    rows = keep(_texts(documents).mapInArrow(lambda b: _rows(b, min_docs), "leaf bigint, line bigint, docs array<bigint>, tokens binary"), "rows")
+    hot = keep(rows.groupBy("leaf").count().where(F.col("count") > large).select(F.col("leaf").alias("hot"), F.ceil(F.col("count") / large).cast("int").alias("n")), "leaves")
+    parts = F.coalesce("n", F.lit(1))
+    dealt = rows.join(hot, F.col("leaf") == F.col("hot"), "left").select("leaf", F.pmod("line", parts).cast("int").alias("part"), parts.alias("parts"), "line", "docs", "tokens")
+    dealt = dealt.repartition(n, "leaf", "part").sortWithinPartitions("leaf", "part")
+    parsed = keep(dealt.mapInArrow(lambda b: _parse(b, min_docs, similar), _PARSED), "parsed")
+    lines = parsed.where("first_doc is not null").select("line", "template", "first_doc")
+    if hot.isEmpty():
+        return lines
+    templates = parsed.where("leaf is not null").select("leaf", "template", "docs", "tokens").repartition(n, "leaf").sortWithinPartitions("leaf", "template")
+    merged = keep(templates.mapInArrow(lambda b: _merge(b, min_docs, similar), "part_template bigint, template bigint, first_doc bigint"), "merged")
+    members = parsed.where("line is not null and first_doc is null").select("line", F.col("template").alias("part_template"))
+    return keep(lines.unionByName(members.join(merged, "part_template").select("line", "template", "first_doc")), "lines")
+
+
+def dedup(documents: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, broadcast_lines: int = BROADCAST_LINES, large: int = LARGE) -> DataFrame:
     """Struct ``row`` (the document, its text without dropped lines), n_lines and dropped (line numbers from 0)."""
     spark = documents.sparkSession
-    lines = recurring(documents, min_docs, similar)
+    lines = recurring(documents, min_docs, similar, large)
     names = documents.columns
     whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if lines.count() <= broadcast_lines:

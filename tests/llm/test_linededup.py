@@ -28,7 +28,7 @@ def brute(rows, min_docs=3, similar=0.7):
     for leaf in leaves.values():
         templates = []
         for masked, ids in sorted(leaf.items(), key=lambda x: (-min(len(x[1]), min_docs), hashes[x[0]])):
-            fit = [sum(a == b and a != "<*>" for a, b in zip(t[0], masked, strict=True)) for t in templates]
+            fit = [sum(a == b for a, b in zip(t[0], masked, strict=True)) for t in templates]
             k = int(np.argmax(fit)) if fit else -1
             if fit and fit[k] >= np.ceil(similar * len(masked) - 1e-9):
                 templates[k][0] = tuple(a if a == b else "<*>" for a, b in zip(templates[k][0], masked, strict=True))
@@ -87,3 +87,17 @@ def test_repeated_rows_and_null_ids(spark):
 def test_one_document_alone_never_recurs(spark):
     got = linededup.dedup(spark.createDataFrame([(1, "say it again now\n" * 50), (2, "say it again now")], "doc_id bigint, text string")).collect()
     assert all(not r.dropped for r in got)
+
+
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_a_large_leaf_is_parsed_in_parts_to_the_same_end(spark, bound):
+    rng = np.random.default_rng(8)
+    words = [f"n{chr(97 + k)}{chr(97 + j)}" for k in range(26) for j in range(4)]
+    rows = []
+    for k in range(80):
+        own = " ".join(rng.choice(words, 9))
+        rows.append((k, f"the same event: {rng.choice(words)} moved {rng.choice(words)} out of here\n{own}\nthe same event: {' '.join(rng.choice(words, 6))}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    whole, parts = (sorted((r.row.doc_id, r.row.text, tuple(r.dropped)) for r in linededup.dedup(docs, broadcast_lines=bound, large=n).collect()) for n in (10**6, 7))
+    assert whole == parts
+    assert sum(0 in d for _, _, d in whole) == 79 and not any(1 in d or 2 in d for _, _, d in whole)
