@@ -47,22 +47,27 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document."""
-    decided = mixing.mix(docs)
-    # rows are known by doc_id, source and size; those that share all three by their place among them.
-    # One set of keys for window and join: the texts are dealt out once.
-    decided = keep(_placed(decided, F.col("size")).select(*_KEYS, "copies", "target").withColumnsRenamed({k: f"{k}2" for k in _KEYS}), "decided")
-    rows = _placed(docs.withColumn("_size", mixing.words("text")), F.col("_size"))
-    got = rows.join(decided, [F.col(k) == F.col(f"{k}2") for k in _KEYS])
-    got = got.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    decided = keep(_keyed(mixing.mix(docs), F.col("size")).select(*_KEYS, "copies", "target"), "decided")
+    groups = keep(decided.groupBy(*_KEYS).agg(F.count("*").alias("_n"), F.first("copies").alias("copies"), F.first("target").alias("target")), "groups")
+    rows = _keyed(docs, mixing.words("text"))
+    got = rows.join(groups.where("_n = 1 and copies > 0").drop("_n"), _KEYS)
+    again = keep(groups.where("_n > 1").select(*_KEYS), "again")
+    if not again.isEmpty():
+        # rows alike in doc_id, source and size are told apart by their place among themselves
+        place = F.row_number().over(Window.partitionBy(*_KEYS).orderBy("copies"))
+        same = decided.join(again, _KEYS, "left_semi").withColumn("_place", place)
+        alike = rows.join(again, _KEYS, "left_semi").withColumn("_place", F.row_number().over(Window.partitionBy(*_KEYS).orderBy(F.xxhash64("text"))))
+        got = got.unionByName(alike.join(same, [*_KEYS, "_place"]).drop("_place").where("copies > 0"))
+    got = got.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return got.select(*(F.col(f"`{c}`") for c in docs.columns), "copy", F.col("_key_size").alias("size"), "target")
 
 
-_KEYS = ["_key", "_key_size", "_key_place"]
+_KEYS = ["_key_id", "_key_source", "_key_size"]
 
 
-def _placed(rows: DataFrame, size: Column) -> DataFrame:
-    keyed = rows.withColumns({"_key": F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))), "_key_size": size})
-    return keyed.withColumn("_key_place", F.row_number().over(Window.partitionBy("_key", "_key_size").orderBy("doc_id")))
+def _keyed(rows: DataFrame, size: Column) -> DataFrame:
+    """Keys of a row that are never null."""
+    return rows.withColumns({k: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for k, c in zip(_KEYS, ("doc_id", "source"), strict=False)} | {"_key_size": size})
 
 
 STAGES = [
