@@ -31,7 +31,7 @@ def labelled(df: DataFrame, label: str, value: str, min_confidence: float) -> Da
 
 
 def nearby_peaks(peaks: DataFrame, genes: DataFrame, window: int) -> DataFrame:
-    """Peaks that overlap tss ± window of a gene, with names, distance and order of position."""
+    """Peaks that overlap tss ± window of a gene, with names and signed distance; PEAK_ORDER is their order in files."""
     from .range_joins import overlap_join
 
     around = genes.select("chrom", F.greatest(F.col("tss") - window, F.lit(0)).alias("start"), (F.col("tss") + window).alias("end"), "gene", "tss", "strand")
@@ -40,7 +40,10 @@ def nearby_peaks(peaks: DataFrame, genes: DataFrame, window: int) -> DataFrame:
     return got.select(
         F.col("b_gene").alias("gene"), F.col("a_mark").alias("mark"), name.alias("variable_name"), F.col("a_chrom").alias("chrom"), F.col("a_start").alias("start"), F.col("a_end").alias("end"),
         intervals.signed_distance_to_tss(F.col("a_start"), F.col("a_end"), F.col("b_tss"), F.col("b_strand")).cast("bigint").alias("signed_distance_to_tss"),
-    ).orderBy("gene", "chrom", "start", "end", "mark")
+    )
+
+
+PEAK_ORDER = ["gene", "chrom", "start", "end", "mark"]
 
 
 def curated_overlaps(peaks: DataFrame, loci: DataFrame) -> DataFrame:

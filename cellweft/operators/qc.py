@@ -35,10 +35,11 @@ def shared_cells(adt: DataFrame, hto: DataFrame) -> DataFrame:
     return sides[0].join(sides[1], "key")
 
 
-def count_thresholds(adt: DataFrame, hto: DataFrame, min_adt: float, min_hto: float) -> DataFrame:
-    """Cells with enough of both totals."""
+def count_thresholds(adt: DataFrame, hto: DataFrame, min_adt: float, min_hto: float, required: bool = False) -> DataFrame:
+    """Cells with enough of both totals; ``required`` makes none an error, at the price of a job."""
     both = cell_totals(adt, "adt_total").join(cell_totals(hto, "hto_total"), "barcode")
-    return require_rows(both.where((F.col("adt_total") >= min_adt) & (F.col("hto_total") >= min_hto)), "cells above the thresholds")
+    got = both.where((F.col("adt_total") >= min_adt) & (F.col("hto_total") >= min_hto))
+    return require_rows(got, "cells above the thresholds") if required else got
 
 
 def class_flags(df: DataFrame, column: str = "hto_classification") -> DataFrame:
@@ -59,7 +60,12 @@ def clean_cells(metadata: DataFrame, counts: DataFrame, min_fragments: int = 100
     got = meta.join(best, "barcode")
     if "singlet_flag" in got.columns:
         got = got.withColumn("singlet_flag", ids.to_bool(F.col("singlet_flag").cast("string")))
-    return got.select(*metadata.columns, "n_cuttag_fragments").orderBy(F.coalesce("donor_id", F.lit("")), "barcode")
+    return got.select(*metadata.columns, "n_cuttag_fragments")
+
+
+def cell_order() -> list[Column]:
+    """Order of clean cells in files: sinks sort by it, the operator doesn't."""
+    return [F.coalesce("donor_id", F.lit("")), F.col("barcode")]
 
 
 def keep_listed(df: DataFrame, whitelist: DataFrame, column: str = "barcode") -> DataFrame:

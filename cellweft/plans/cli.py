@@ -87,11 +87,11 @@ def main(argv: list[str] | None = None) -> int:
         signals = {m: (entries.where(F.col("mark") == m), peaks.where(F.col("mark") == m)) for m in marks}
         for gene in [r.gene for r in genes.select("gene").collect()]:
             own = near.where(F.col("gene") == gene)
-            names = [r.variable_name for r in own.select("variable_name").collect()]
+            names = [r.variable_name for r in own.orderBy(*dataset.PEAK_ORDER).select("variable_name").collect()]
             long = dataset.locus_matrix(read(spark, a.samples), spark.read.parquet(a.rna), gene, own, signals, a.target_sum, a.quant_mode)
             wide = long.groupBy("sample_id").pivot("variable", dataset.column_order(gene, marks, names)).agg(F.first("value"))
             tables.write_tsv(wide, out / f"{ids.sanitize(gene)}_{window_suffix(a.window_bp)}_matrix.tsv", ["sample_id"])
-            tables.write_tsv(own, out / f"{ids.sanitize(gene)}_peaks.tsv")
+            tables.write_tsv(own, out / f"{ids.sanitize(gene)}_peaks.tsv", dataset.PEAK_ORDER)
     elif a.command in ("graph", "sweep"):
         long = long_of(read(spark, a.matrix))
         specs = [spec(method=a.method, max_depth=a.max_depth, family=a.family, lambda1=a.lambda1, threshold=a.threshold, stages=a.stages)] if a.command == "graph" else runner.depth_grid(a.methods, a.depths, spec())

@@ -27,7 +27,7 @@ class CleanData:
 def metadata_of(adt: DataFrame, hto: DataFrame, min_adt: float = 1, min_hto: float = 1, quantile: float = 0.99) -> DataFrame:
     """Demultiplexed cells that both matrices have, with totals."""
     both = qc.shared_cells(adt, hto)
-    totals = qc.count_thresholds(adt.join(both.select(F.col("adt_barcode").alias("barcode"), "key"), "barcode").withColumn("barcode", F.col("key")), hto.join(both.select(F.col("hto_barcode").alias("barcode"), "key"), "barcode").withColumn("barcode", F.col("key")), min_adt, min_hto)
+    totals = qc.count_thresholds(adt.join(both.select(F.col("adt_barcode").alias("barcode"), "key"), "barcode").withColumn("barcode", F.col("key")), hto.join(both.select(F.col("hto_barcode").alias("barcode"), "key"), "barcode").withColumn("barcode", F.col("key")), min_adt, min_hto, required=True)
     kept = hto.join(both.select(F.col("hto_barcode").alias("barcode"), "key"), "barcode").withColumn("barcode", F.col("key")).join(totals.select("barcode"), "barcode", "left_semi")
     return totals.join(demux.demux(kept.select("feature", "barcode", "count"), quantile), "barcode")
 
@@ -46,7 +46,7 @@ def clean(fragments: DataFrame, metadata: DataFrame, sizes: DataFrame, called: D
 
 def write(data: CleanData, prefix: str | Path) -> dict:
     """All files of a run under a prefix; returns the summary that is written too."""
-    n = tables.write_tsv(data.cells, f"{prefix}_clean_cells.tsv")
+    n = tables.write_tsv(data.cells, f"{prefix}_clean_cells.tsv", qc.cell_order())
     tables.write_tsv(data.cells.select("barcode"), f"{prefix}_clean_barcodes.tsv", ["barcode"])
     tables.write_counts(data.counts, f"{prefix}_fragment_counts.tsv")
     tables.write_tsv(tables.bed4(data.bins), f"{prefix}_bins.bed", ["chrom", "start"], header=False)

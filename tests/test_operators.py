@@ -61,7 +61,7 @@ def test_toy_counts_keep_their_invariants(spark):
 def test_clean_cells_rules(spark):
     meta = spark.createDataFrame([("A-1", " Singlet ", "d1", "TRUE"), ("A.1", "Singlet", "d2", "no"), ("B", "singlet", "d", "TRUE"), ("C", "Singlet", "NA", "TRUE"), ("D", "Singlet", "d", None), (" ", "Singlet", "d", "TRUE")], "barcode string, hto_classification string, donor_id string, singlet_flag string")
     counts = spark.createDataFrame([("A-1", 60), ("A-2", 150), ("C", 500), ("D", 99), ("B", 500)], "barcode string, n bigint")
-    got = qc.clean_cells(meta, counts, 100).collect()
+    got = qc.clean_cells(meta, counts, 100).orderBy(*qc.cell_order()).collect()
     assert [(r.barcode, r.donor_id, r.n_cuttag_fragments, r.singlet_flag) for r in got] == [("A", "d1", 150, True), ("A", "d2", 150, False)]
     assert qc.clean_cells(meta, counts, 100, True).count() == 3
 
@@ -79,7 +79,7 @@ def test_thresholds_and_filters(spark):
     long = spark.createDataFrame([("A", 3.0), ("A", 4.0), ("B", 1.0)], "barcode string, count double")
     assert [tuple(r) for r in qc.count_thresholds(long, long, 7, 7).collect()] == [("A", 7.0, 7.0)]
     with pytest.raises(SchemaError):
-        qc.count_thresholds(long, long, 8, 0)
+        qc.count_thresholds(long, long, 8, 0, required=True)
     vec = spark.createDataFrame([(1, [1.0, 2.0]), (2, [float("nan"), 0.0]), (3, [float("inf"), 0.0]), (4, [None, 1.0])], "id int, emb array<double>")
     assert [r.id for r in qc.finite_vectors(vec).collect()] == [1]
     entries = spark.createDataFrame([("a", "f", 0.0), ("b", "f", 2.0)], "cell string, feature string, value double")
