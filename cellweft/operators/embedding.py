@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.mllib.linalg import Vectors as OldVectors
+from pyspark.ml.linalg import VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame, Window
+from pyspark.mllib.util import MLUtils
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from ..recovery import keep
 from . import matrix
+from .places import numbered
 
 
 def feature_moments(entries: DataFrame, n_cells: int) -> DataFrame:
@@ -41,11 +43,17 @@ def variable_by_dispersion(moments: DataFrame, k: int, bins: int = 20) -> DataFr
 
 
 def vectors(entries: DataFrame, features: DataFrame) -> DataFrame:
-    """(cell, features) with sparse vectors; ``features`` is (feature, idx)."""
+    """(cell, features) with sparse vectors; ``features`` is (feature, idx).
+
+    They are stored, as fits read them again and again, and read back as vectors of the same layout, so no row passes
+    through Python.
+    """
     n = features.count()
-    rows = entries.join(features, "feature").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("e"))
-    pack = F.udf(lambda e: SparseVector(n, [x[0] for x in e], [x[1] for x in e]), VectorUDT())
-    return rows.select("cell", pack("e").alias("features"))
+    entry = F.struct(F.col("idx").cast("int").alias("idx"), F.col("value").cast("double").alias("value"))
+    rows = entries.join(features.select("feature", "idx"), "feature").groupBy("cell").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(n).alias("size"), F.col("e.idx").alias("indices"), F.col("e.value").alias("values"))
+    laid_out = rows.select("cell", sparse.alias("features"))
+    return keep(laid_out, "vectors", StructType([laid_out.schema["cell"], StructField("features", VectorUDT())]))
 
 
 def pca(entries: DataFrame, features: DataFrame, k: int = 50, scale: bool = True) -> DataFrame:
@@ -59,13 +67,14 @@ def pca(entries: DataFrame, features: DataFrame, k: int = 50, scale: bool = True
 
 def lsi(entries: DataFrame, n_cells: int, features: DataFrame, k: int = 50) -> DataFrame:
     """(cell, emb): left singular vectors times singular values of the TF-IDF matrix."""
-    data = vectors(matrix.tf_idf(entries, n_cells), features)
-    rows = RowMatrix(data.select("features").rdd.map(lambda r: OldVectors.fromML(r.features)))
-    svd = rows.computeSVD(k, computeU=False)
-    basis = svd.V.toArray()
-    shared = entries.sparkSession.sparkContext.broadcast(basis)
-    project = F.udf(lambda v: [float(x) for x in (v.values @ shared.value[v.indices] if len(v.indices) else np.zeros(shared.value.shape[1]))], "array<double>")
-    return data.select("cell", project("features").alias("emb"))
+    weighed = keep(matrix.tf_idf(entries, n_cells), "tfidf")
+    rows = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors(weighed, features).select("features"), "features"))
+    right = rows.computeSVD(k, computeU=False).V.toArray()
+    basis = entries.sparkSession.createDataFrame([(i, row.tolist()) for i, row in enumerate(right)], "idx int, basis array<double>")
+    # an entry beside its feature's row of the basis; sums are combined before the shuffle
+    long = weighed.join(features.select("feature", "idx").join(basis, "idx"), "feature")
+    sums = long.groupBy("cell").agg(*(F.sum(F.col("value") * F.get("basis", F.lit(j))).alias(f"s{j}") for j in range(right.shape[1])))
+    return sums.select("cell", F.array(*(f"s{j}" for j in range(right.shape[1]))).alias("emb"))
 
 
 def scale_and_clip(long: DataFrame, most: float = 10.0) -> DataFrame:
@@ -88,4 +97,4 @@ def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def cell_order(df: DataFrame, key: str = "cell") -> DataFrame:
-    return df.withColumn("idx", F.row_number().over(Window.orderBy(key)) - 1)
+    return numbered(df, [key])

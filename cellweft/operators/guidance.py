@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, intervals
 from ..sources.delimited import first_per
+from .places import numbered
 from .range_joins import center_tss_join, nearest_k, window_join
 
 #: Sign, window, decay and alpha of each mark on the graph track.
@@ -174,4 +175,4 @@ def availability(target: DataFrame, found: DataFrame) -> DataFrame:
 
 def indexed(names: DataFrame, order: list[str]) -> DataFrame:
     """0-based places in the defining order, for tables of features."""
-    return names.withColumn("idx", F.row_number().over(Window.orderBy(*order)) - 1)
+    return numbered(names, order).withColumn("idx", F.col("idx").cast("int"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..schema import SchemaError
+from .places import numbered
 
 
 def attach_metadata(obs: DataFrame, cells: DataFrame, key: str = "barcode") -> DataFrame:
@@ -46,7 +47,7 @@ def row_ids(df: DataFrame, order: list[str | Column]) -> DataFrame:
     for c in ("metacell_id", "sample_id", "row_id"):
         if c in df.columns:
             return df.withColumn("row_id", F.col(c).cast("string"))
-    return df.withColumn("row_id", F.format_string("row_%05d", F.row_number().over(Window.orderBy(*order))))
+    return numbered(df, order, "_place", 1).withColumn("row_id", F.format_string("row_%05d", "_place")).drop("_place")
 
 
 def unmapped_counts(df: DataFrame, columns: list[str]) -> DataFrame:

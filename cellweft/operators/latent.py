@@ -162,11 +162,11 @@ def encode(cells: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            x = np.array(batch.column("x").to_pylist(), float).reshape(n, -1) * np.array(batch.column("available").to_pylist(), float).reshape(n, -1)
-            z = shared.value.encode(x) if n else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("modality_key"), pa.array(z.tolist(), pa.list_(pa.float64()))], names=["cell", "modality_key", "emb"])
+            x, here = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1)) for c in ("x", "available"))
+            z = shared.value.encode(x * here) if n else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("modality_key"), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel()))], names=["cell", "modality_key", "emb"])
 
-    picked = cells.select("cell", "modality_key", "x", "available")
+    picked = cells.select("cell", "modality_key", F.col("x").cast("array<double>").alias("x"), F.col("available").cast("array<double>").alias("available"))
     return picked.mapInArrow(run, StructType([picked.schema["cell"], picked.schema["modality_key"], StructField("emb", ArrayType(DoubleType()))]))
 
 
@@ -181,9 +181,20 @@ def shared_features(entries: DataFrame, target: DataFrame, n_features: int) -> D
     stats = lognorm.groupBy("modality_key", "idx").agg(F.sum("v").alias("_s"), F.sum(F.col("v") * F.col("v")).alias("_q")).join(n, "modality_key")
     mean = F.col("_s") / F.col("_n")
     sd = F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0)))
-    packed = stats.groupBy("modality_key").agg(F.map_from_entries(F.collect_list(F.struct("idx", F.struct(mean.alias("m"), F.when(sd < 1e-6, 1.0).otherwise(sd).alias("s"))))).alias("_stats"))
-    rows = lognorm.groupBy("modality_key", "cell").agg(F.map_from_entries(F.collect_list(F.struct("idx", "v"))).alias("_v"))
-    every = F.sequence(F.lit(0), F.lit(n_features - 1))
-    x = F.transform(every, lambda k: F.when(F.element_at("_stats", k).isNotNull(), (F.coalesce(F.element_at("_v", k), F.lit(0.0)) - F.element_at("_stats", k)["m"]) / F.element_at("_stats", k)["s"]).otherwise(0.0))
-    here = F.transform(every, lambda k: F.element_at("_stats", k).isNotNull().cast("double"))
+    of_feature = F.struct(F.col("idx").cast("int").alias("idx"), F.struct(mean.alias("m"), F.when(sd < 1e-6, 1.0).otherwise(sd).alias("s")).alias("v"))
+    packed = stats.groupBy("modality_key").agg(F.array_sort(F.collect_list(of_feature)).alias("_e"))
+    packed = packed.select("modality_key", dense(F.col("_e"), n_features, F.lit(None).cast("struct<m:double,s:double>")).alias("_stats"))
+    rows = lognorm.groupBy("modality_key", "cell").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "v"))).alias("_e"))
+    rows = rows.withColumn("_v", dense(F.col("_e"), n_features, F.lit(0.0))).drop("_e")
+    x = F.zip_with("_v", "_stats", lambda v, s: F.coalesce((v - s["m"]) / s["s"], F.lit(0.0)))
+    here = F.transform("_stats", lambda s: s.isNotNull().cast("double"))
+    # a row a modality, each of n_features pairs
     return rows.join(F.broadcast(packed), "modality_key").select("cell", "modality_key", x.alias("x"), here.alias("available"))
+
+
+def dense(entries: Column, size: int, empty: Column) -> Column:
+    """Array of ``size`` from entries (idx, v) sorted by idx, in one pass; a repeated idx is an error."""
+    before = F.slice(F.array_prepend(F.transform(entries, lambda e: e["idx"]), F.lit(-1)), F.lit(1), F.size(entries))
+    parts = F.zip_with(entries, before, lambda e, last: F.when(e["idx"] > last, F.concat(F.array_repeat(empty, e["idx"] - last - 1), F.array(e["v"]))).otherwise(F.raise_error(F.concat(F.lit("two values of feature "), e["idx"].cast("string")))))
+    rest = F.lit(size - 1) - F.coalesce(F.try_element_at(entries, F.lit(-1))["idx"], F.lit(-1))
+    return F.concat(F.flatten(parts), F.array_repeat(empty, rest))

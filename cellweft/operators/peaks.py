@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from ..recovery import keep
+
 TILE = 1_000_000
 
 
@@ -74,6 +76,24 @@ def _tail(k: pd.Series, lam: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def q_values(per: DataFrame) -> DataFrame:
+    """p and q (both -log10) from the length covered by each distinct p.
+
+    Ranks and the running maximum are carried over steps of 0.01: p has five
+    decimals, so a step has a thousand rows at most and the steps are few.
+    """
+    per = keep(per.withColumn("step", F.floor(F.col("p") * 100)), "per_p")
+    down, up = Window.orderBy(F.desc("step")), Window.orderBy("step")
+    before = Window.unboundedPreceding, -1
+    above = per.groupBy("step").agg(F.sum("length").alias("length")).select("step", F.coalesce(F.sum("length").over(down.rowsBetween(*before)), F.lit(0)).alias("above"))
+    total = float(per.agg(F.sum("length")).first()[0] or 1)
+    rank = F.col("above") + F.sum("length").over(Window.partitionBy("step").orderBy(F.desc("p")))
+    raw = keep(per.join(above, "step").select("p", "step", (F.col("p") - (F.lit(log10(total)) - F.log10(rank))).alias("raw")), "raw_q")
+    below = raw.groupBy("step").agg(F.max("raw").alias("most")).select("step", F.max("most").over(up.rowsBetween(*before)).alias("below"))
+    inner = F.max("raw").over(Window.partitionBy("step").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+    return raw.join(below, "step").select("p", F.greatest(inner, "below", F.lit(0.0)).alias("q"))
+
+
 def call(fragments: DataFrame, genome_size: float, q: float = 0.01, shift: int = -100, extend: int = 200, local: int = 10000, min_length: int | None = None, max_gap: int | None = None) -> DataFrame:
     """chrom, start, end, summit, depth, neg_log10_p, neg_log10_q of enriched stretches.
 
@@ -92,13 +112,7 @@ def call(fragments: DataFrame, genome_size: float, q: float = 0.01, shift: int =
     lam = near.join(windows, ["chrom", "w"], "left").withColumn("x", F.coalesce("n", F.lit(0)) * share).groupBy("chrom", "start", "end", "depth").agg((F.sum("x") * extend / local).alias("lam_local"))
     scored = lam.withColumn("lam", F.round(F.greatest("lam_local", F.lit(genome)), 6)).withColumn("p", F.round(_tail("depth", "lam"), 5))
     # q of each distinct p: rank by positions covered, then the running minimum from the least significant
-    per = scored.groupBy("p").agg(F.sum(F.col("end") - F.col("start")).alias("length"))
-    down = Window.orderBy(F.desc("p"))
-    ranked = per.withColumn("rank", F.sum("length").over(down))
-    total = F.lit(float(ranked.agg(F.max("rank")).first()[0] or 1))
-    q_raw = ranked.withColumn("_q", F.col("p") - (F.log10(total) - F.log10(F.col("rank"))))
-    qs = q_raw.withColumn("q", F.greatest(F.max("_q").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))).select("p", "q")
-    over = scored.join(F.broadcast(qs), "p").where(F.col("q") >= -np.log10(q))
+    over = scored.join(q_values(scored.groupBy("p").agg(F.sum(F.col("end") - F.col("start")).alias("length"))).where(F.col("q") >= -np.log10(q)), "p")
     gap = extend if max_gap is None else max_gap
     w = Window.partitionBy("chrom").orderBy("start")
     group = over.withColumn("_new", (F.col("start") - F.coalesce(F.lag("end").over(w), F.lit(-(10**9))) > gap).cast("int")).withColumn("_g", F.sum("_new").over(w))

@@ -14,10 +14,11 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import intervals
+from ..operators.places import numbered
 
 
 def _open(path: str | Path):
@@ -74,20 +75,8 @@ def bins_bed(features: DataFrame) -> DataFrame:
 
 
 def index_names(df: DataFrame, name: str) -> DataFrame:
-    """(idx, name) with 0-based places in order of name.
-
-    Places come from counts before each range partition, so no task sorts all.
-    """
-    ordered = df.select(F.col(name).alias("name")).distinct().repartitionByRange("name").sortWithinPartitions("name").select("name", F.spark_partition_id().alias("part"))
-    ordered = ordered.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("name")))
-    before, total = {}, 0
-    for r in sorted(ordered.groupBy("part").count().collect()):
-        before[r.part] = total
-        total += r["count"]
-    if not before:
-        return ordered.select(F.col("at").cast("bigint").alias("idx"), "name")
-    starts = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    return ordered.select((F.col("at") - 1 + F.element_at(starts, F.col("part"))).cast("bigint").alias("idx"), "name")
+    """(idx, name) with 0-based places in order of name."""
+    return numbered(df.select(F.col(name).alias("name")).distinct(), ["name"]).select("idx", "name")
 
 
 def write_mtx(entries: DataFrame, cells: DataFrame, features: DataFrame, prefix: str | Path) -> tuple[int, int, int]:
