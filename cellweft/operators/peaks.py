@@ -8,7 +8,7 @@ chromosome.
 
 from __future__ import annotations
 
-from math import lgamma, log, log10
+from math import log10
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..recovery import keep
+from .families import lgamma
 
 TILE = 1_000_000
 
@@ -48,32 +49,26 @@ def pileup(spans: DataFrame) -> DataFrame:
     return got.select("chrom", F.col("pos").alias("start"), F.coalesce("following", "next").alias("end"), (F.col("run") + F.col("base")).alias("depth")).where("end is not null and depth > 0")
 
 
-def log10_poisson_tail(k: int, lam: float) -> float:
-    """-log10 P(X >= k) for a Poisson of mean lam."""
-    if k <= 0:
-        return 0.0
-    if k <= lam:
-        terms = np.exp(np.arange(k) * log(lam) - lam - np.array([lgamma(i + 1) for i in range(k)]))
-        return max(0.0, -log10(max(1 - terms.sum(), 1e-300)))
-    lead = k * log(lam) - lam - lgamma(k + 1)
-    total, term, i = 1.0, 1.0, k
-    while term > 1e-12 * total:
-        i += 1
-        term *= lam / i
-        total += term
-    return -(lead + log(total)) / log(10)
+def log10_poisson_tail(k: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """-log10 P(X >= k) for Poisson means lam, by the series on the far side of the mean from k."""
+    k, lam = np.broadcast_arrays(np.asarray(k, float), np.asarray(lam, float))
+    above = k > lam
+    # terms from k upwards above the mean, from k - 1 downwards else; both shrink
+    i = np.where(above, k, np.maximum(k - 1, 0))
+    lead = i * np.log(lam) - lam - lgamma(i + 1.0)
+    total, term = np.ones(k.shape), np.ones(k.shape)
+    while (term > 1e-12 * total).any():
+        term = np.where(above, term * lam / (i + 1), term * i / lam)
+        i = np.where(above, i + 1, np.maximum(i - 1, 0))
+        total = total + term
+    tail = lead + np.log(total)
+    below = np.log(np.maximum(-np.expm1(np.minimum(tail, 0.0)), 1e-300))
+    return np.where(k <= 0, 0.0, np.maximum(-np.where(above, tail, below) / np.log(10), 0.0))
 
 
 @pandas_udf(DoubleType())
 def _tail(k: pd.Series, lam: pd.Series) -> pd.Series:
-    cache: dict[tuple[int, float], float] = {}
-    out = []
-    for a, b in zip(k, lam, strict=True):
-        key = (int(a), float(b))
-        if key not in cache:
-            cache[key] = log10_poisson_tail(*key)
-        out.append(cache[key])
-    return pd.Series(out)
+    return pd.Series(log10_poisson_tail(k.to_numpy(float), lam.to_numpy(float)))
 
 
 def q_values(per: DataFrame) -> DataFrame:
@@ -111,7 +106,7 @@ def call(fragments: DataFrame, genome_size: float, q: float = 0.01, shift: int =
     share = F.when(F.col("w") == F.floor(middle / local), F.lit(1.0)).otherwise(F.abs(middle / local - F.floor(middle / local) - 0.5) * (F.sign(F.col("w") - F.floor(middle / local)) == F.sign(middle / local - F.floor(middle / local) - 0.5)).cast("double"))
     lam = near.join(windows, ["chrom", "w"], "left").withColumn("x", F.coalesce("n", F.lit(0)) * share).groupBy("chrom", "start", "end", "depth").agg((F.sum("x") * extend / local).alias("lam_local"))
     scored = lam.withColumn("lam", F.round(F.greatest("lam_local", F.lit(genome)), 6)).withColumn("p", F.round(_tail("depth", "lam"), 5))
-    # q of each distinct p: rank by positions covered, then the running minimum from the least significant
+    scored = keep(scored, "scored")  # both ranked and filtered by the ranks
     over = scored.join(q_values(scored.groupBy("p").agg(F.sum(F.col("end") - F.col("start")).alias("length"))).where(F.col("q") >= -np.log10(q)), "p")
     gap = extend if max_gap is None else max_gap
     w = Window.partitionBy("chrom").orderBy("start")
