@@ -2,71 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import uuid
-from contextlib import contextmanager
+from ..recovery import keep, scratch, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["BATCH_BYTES", "keep", "scratch", "shared_dir"]
 
-_DEFAULT_DIR = "/tmp/checkpoints/cellweft"
 #: Upper bound of one Arrow batch of texts sent to a Python worker.
 BATCH_BYTES = 16 << 20
-_RUN = uuid.uuid4().hex[:12]
-_made: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one named in ``spark.checkpoint.dir`` (or set on the context);
-    only where neither is set, as in tests, a local default is set.
-    """
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        where = _DEFAULT_DIR
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; local ones go when Python ends."""
-    root = f"{shared_dir(spark)}/cellweft-{_RUN}"
-    if root not in _made:
-        _made.add(root)
-        local = root.removeprefix("file://") if root.startswith("file:///") else root
-        if local.startswith("/"):
-            atexit.register(shutil.rmtree, local, True)
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts lineage: a lost executor costs its running tasks, not what was
-    finished before.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def settings(spark: SparkSession, **conf: str):
-    """Session settings (dots as double underscores) that hold inside the block."""
-    before = {}
-    for key, value in conf.items():
-        key = key.replace("__", ".")
-        before[key] = spark.conf.get(key, None)
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)

@@ -1,7 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A text's terms are its lower-cased words and the words' first four and five
-characters' bytes, hashed; a term counts once a text.  Beside a weight, each
+A text's terms are its lower-cased words and the words' first four, five and
+six bytes, hashed; a term counts once a text.  Beside a weight, each
 term has a short vector; the product of two terms' vectors weighs the pair, so
 an insult scores otherwise beside a group than alone.
 
