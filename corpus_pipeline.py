@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweft.llm import decontam, langid, linededup, mixing, simhash
+from cellweft.llm import decontam, langid, linededup, mixing, neardup
 from cellweft.llm._store import keep
 
 
@@ -27,7 +27,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one of least doc_id."""
-    classes = keep(simhash.near_duplicates(docs), "near")
+    classes = keep(neardup.near_duplicates(docs), "near")
     gone = keep(classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "gone")
     again = keep(classes.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "again")
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
