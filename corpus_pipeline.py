@@ -26,18 +26,22 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one of least doc_id."""
+    """One document of each near-duplicate group stays, the one of least doc_id; ids alone join no rows."""
     classes = keep(neardup.near_duplicates(docs), "near")
-    gone = keep(classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    again = keep(classes.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "again")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    kept = docs.join(gone, same, "left_anti")
-    if again.isEmpty():
-        return kept
-    # rows that share a doc_id are one group, too: the longest stays
-    order = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
-    first = kept.join(again, same, "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
-    return kept.join(again, same, "left_anti").unionByName(first)
+    stays = (F.col("text_key") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    row = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
+    gone = keep(classes.where(~stays).select(*row).distinct(), "gone")
+    again = keep(classes.where(stays).groupBy(*row).count().where("count > 1").select("_id", "_key"), "again")
+    keyed = docs.withColumn("_text", neardup.text_key())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+    kept = keyed.join(gone, same, "left_anti")
+    if not again.isEmpty():
+        # rows of one id and text are one document
+        names = [F.col(f"`{c}`") for c in docs.columns]
+        twice = kept.join(again, same, "left_semi").select("doc_id", "_text", F.struct(*names).alias("_row"), F.xxhash64(*names).alias("_order"))
+        once = twice.groupBy("doc_id", "_text").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*", "_text")
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return kept.drop("_text")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

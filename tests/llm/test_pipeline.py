@@ -34,6 +34,15 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in got) == ["1", "4", "6", "None"]
 
 
+def test_near_duplicate_stage_leaves_unrelated_texts_of_one_id_or_none(spark):
+    own = [" ".join(f"{c}{k}" for k in range(50)) for c in "abcdef"]
+    rows = [(None, own[0]), (None, own[1]), (None, own[2] + " more"), (1, own[2]), (1, own[3]), (1, own[3]), (2, own[4]), (2, own[5]), (3, own[4]), (0, own[5]), (None, own[1])]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted([(None, own[0]), (None, own[1]), (1, own[2]), (1, own[3]), (2, own[4]), (0, own[5])], key=str)
+
+
 def test_mixing_stage_with_repeated_rows(spark):
     rows = [(k % 20, f"t{k} " * (k % 7), "en", f"s{k % 3}", 0) for k in range(200)] + [(None, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
