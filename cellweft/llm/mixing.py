@@ -12,7 +12,9 @@ its last document is balanced by others of that task, as far as their sizes fit,
 so small sources come near their targets too.  Documents meet in leaves of
 about ``LEAF`` documents of one source; each leaf leaves at most one document
 undecided, and these meet again in a tree of ``FAN`` children a node, so no task
-gets a whole source.  Draws are hashes, leaves follow from hashes and counts,
+gets a whole source.  Each source has a tree of its own height.  Along with the
+undecided document goes a bounded choice of decided ones, graded by size and
+with as many words as it has, so the root can balance too.  Draws are hashes, leaves follow from hashes and counts,
 so reruns agree.
 
 Defined cases: a null text has size 0 and is taken 0 words; null sources are one
@@ -37,6 +39,9 @@ WEIGHTS = (1, 2, 3)
 LIMIT = 3
 LEAF = 4096
 FAN = 64
+#: Decided documents of each choice that a node passes up: so many of each power of two in size, and at most so many for their words.
+GRADE = 4
+FILL = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -73,7 +78,10 @@ def _draw(*parts) -> float:
 
 
 def _round(ids: list, sizes: list[int], chance: list[float], last: bool) -> list[float]:
-    """Pivotal rounding along a list; returns the chances, at most one not 0 or 1 (none if ``last``)."""
+    """Pivotal rounding along a list; returns the chances, at most one not 0 or 1 (none if ``last``).
+
+    Chances of 0 and 1 are choices made before; ``last`` may turn them to balance.
+    """
     out = list(chance)
     live = -1
     for k in range(len(out)):
@@ -102,25 +110,46 @@ def _round(ids: list, sizes: list[int], chance: list[float], last: bool) -> list
         out[live] = 1.0 if up else 0.0
         # words too many or too few by this last choice go to documents that fit, largest first
         for k in sorted(range(len(out)), key=lambda k: (-sizes[k], k)):
-            if k != live and 0.0 < chance[k] < 1.0 and out[k] == (1.0 if up else 0.0) and sizes[k] <= abs(over):
+            if k != live and sizes[k] > 0 and out[k] == (1.0 if up else 0.0) and sizes[k] <= abs(over):
                 out[k] = 0.0 if up else 1.0
                 over -= sizes[k] if up else -sizes[k]
     return out
 
 
-_ROW = "node bigint, source string, doc_id bigint, size bigint, copies int, chance double, source_size bigint, target double"
+def _passed(sizes: list[int], chance: list[float]) -> list[bool]:
+    """Whether each row, largest first, goes up: the undecided one, and of each choice what can balance it."""
+    open_ = [k for k, c in enumerate(chance) if 0.0 < c < 1.0]
+    out = [0.0 < c < 1.0 for c in chance]
+    need = max((sizes[k] for k in open_), default=0)
+    for choice in (0.0, 1.0):
+        words, filled, grades = 0, 0, {}
+        for k, c in enumerate(chance):
+            if c != choice:
+                continue
+            grade = sizes[k].bit_length()
+            fill = sizes[k] <= need and words < need and filled < FILL
+            if fill:
+                words, filled = words + sizes[k], filled + 1
+            if fill or grades.get(grade, 0) < GRADE:
+                out[k] = True
+                grades[grade] = grades.get(grade, 0) + 1
+    return out
+
+
+_ROW = "node bigint, nodes bigint, source string, doc_id bigint, size bigint, copies int, chance double, source_size bigint, target double, up boolean"
 
 
-def _reduce(rows: DataFrame, last: bool) -> DataFrame:
-    """Round within each (source, node), rows in order of size, largest first."""
+def _reduce(rows: DataFrame) -> DataFrame:
+    """Round within each (source, node), rows in order of size, largest first; ``up`` rows go to the next level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def done(group: list[dict]) -> pa.RecordBatch:
-            got = _round([r["doc_id"] for r in group], [r["size"] for r in group], [r["chance"] for r in group], last)
-            for r, c in zip(group, got, strict=True):
-                r["chance"] = c
+            sizes, last = [r["size"] for r in group], group[0]["nodes"] <= 1
+            got = _round([r["doc_id"] for r in group], sizes, [r["chance"] for r in group], last)
+            for r, c, up in zip(group, got, [False] * len(got) if last else _passed(sizes, got), strict=True):
+                r["chance"], r["up"] = c, up
             return pa.RecordBatch.from_pylist(group, schema=kind)
 
         kind = None
@@ -135,7 +164,7 @@ def _reduce(rows: DataFrame, last: bool) -> DataFrame:
             yield done(held)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["source", "node", F.col("size").desc(), F.xxhash64("doc_id"), "doc_id"]
+    order = ["source", "node", F.col("size").desc(), F.xxhash64("doc_id"), "doc_id", "chance"]
     return rows.repartition(n, "source", "node").sortWithinPartitions(*order).mapInArrow(run, _ROW)
 
 
@@ -155,21 +184,20 @@ def _decide(rows: DataFrame, weights: tuple[int, ...], limit: int) -> DataFrame:
     targets = keep(source_targets(rows, weights, limit), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     dealt = rows.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
-        F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("n") / LEAF)).alias("node"), F.col("d.source").alias("source"), "doc_id", "size",
-        F.when(F.col("size") > 0, F.floor(rate)).otherwise(0).cast("int").alias("copies"), F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0).alias("chance"), "source_size", "target",
+        F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("n") / LEAF)).alias("node"), F.ceil(F.col("n") / LEAF).alias("nodes"), F.col("d.source").alias("source"), "doc_id", "size",
+        F.when(F.col("size") > 0, F.floor(rate)).otherwise(0).cast("int").alias("copies"), F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0).alias("chance"), "source_size", "target", F.lit(False).alias("up"),
     )
     open_ = (F.col("chance") > 0) & (F.col("chance") < 1)
     settled = dealt.where(~open_)
     most = targets.agg(F.max("n")).first()[0] or 0
     nodes, out, level = math.ceil(most / LEAF), [settled], dealt.where(open_)
     while True:
-        last = nodes <= 1
-        got = keep(_reduce(level, last), "rounded")
-        out.append(got if last else got.where(~open_))
-        if last:
+        got = keep(_reduce(level), "rounded")
+        out.append(got.where(~F.col("up")))
+        if nodes <= 1:
             break
         nodes = math.ceil(nodes / FAN)
-        level = got.where(open_).withColumn("node", F.floor(F.col("node") / FAN).cast("bigint"))
+        level = got.where("up").withColumns({"node": F.floor(F.col("node") / FAN).cast("bigint"), "nodes": F.ceil(F.col("nodes") / FAN).cast("bigint")})
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)

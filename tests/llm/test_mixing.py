@@ -63,6 +63,17 @@ def test_capped_and_empty_sources(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
 
 
+def test_every_source_is_balanced_beside_a_large_one(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for source, n in [*((f"s{k:02d}", 500) for k in range(12)), ("t0", 9000), ("t1", 4500)]:
+        rows += [(source, int(x)) for x in rng.integers(250, 350, n)] + [(source, 20_000)] + [(source, int(x)) for x in rng.integers(1, 100, 8)]
+    docs = spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate(rows)], "doc_id bigint, source string, size bigint").repartition(4)
+    got = mixing._decide(docs, mixing.WEIGHTS, mixing.LIMIT).groupBy("source").agg({"taken": "sum", "target": "max", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in got) == len(rows)
+    assert max(abs(r["sum(taken)"] - r["max(target)"]) for r in got) <= 350, got  # one usual document
+
+
 def test_rounding_keeps_means():
     total = np.zeros(40)
     sizes = [int(5 + 90 / (k + 1)) for k in range(40)]
