@@ -11,9 +11,9 @@ document of least id that has it and are dropped elsewhere.
 Equal lines of a batch are one row with the least ``MIN_DOCS`` document ids
 that hold it, which is all that the count of documents needs; so a line that
 most documents share is a few rows.  Leaves are dealt out by hash and streamed.
-A leaf of more than ``LARGE`` rows is dealt out in parts by the lines' hash, each
-part is parsed alone, and the parts' templates, not their lines, are parsed
-again into the leaf's; so a task holds one part's lines or one leaf's templates.
+A leaf of more than ``LARGE`` rows is dealt out in parts by the lines' hash, where
+equal lines become one row, and these are dealt out by leaf; so a task holds one
+part's rows or one leaf's distinct lines, and templates do not depend on sizes.
 
 Defined cases: a null text stays null and has no lines; lines without a word and
 of fewer than ``MIN_TOKENS`` tokens are never dropped; null doc_ids count as one
@@ -39,7 +39,7 @@ DEPTH = 3
 SIMILAR = 0.7
 MIN_DOCS = 3
 MIN_TOKENS = 3
-#: Rows of a leaf from which it is parsed in parts.
+#: Rows of a leaf from which its equal lines are joined in parts first.
 LARGE = 20_000
 #: Recurring lines that are sent to every task; beyond it they are joined.
 BROADCAST_LINES = 2_000_000
@@ -174,7 +174,7 @@ def _change(table: pa.RecordBatch, keys: list[str]) -> np.ndarray:
 
 def _parse(batches: Iterator[pa.RecordBatch], most: int, similar: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by leaf and part.  Gives the lines of recurring templates with their first document; of leaves in
-    parts it gives every template (leaf, docs, tokens) and every line with its template."""
+    parts it gives every distinct line (leaf, docs, tokens)."""
     for table in _groups(batches, ["leaf", "part"]):
         leaf, part, parts = (table.column(c).to_numpy() for c in ("leaf", "part", "parts"))
         line, tokens, listed = table.column("line").to_numpy(), table.column("tokens"), table.column("docs")
@@ -197,33 +197,17 @@ def _parse(batches: Iterator[pa.RecordBatch], most: int, similar: float) -> Iter
                 if h not in text:
                     text[h] = tokens[k].as_py()
             got = [(h, tuple(sorted(d)[:most]), text[h]) for h, d in ids.items()]
+            if parts[a] > 1:
+                out += [(h, None, None, int(leaf[a]), list(d), t) for h, d, t in got]
+                continue
             for members, found, template in parse_leaf(got, most, similar):
-                if parts[a] > 1:
-                    name = _name(leaf[a : a + 1].tobytes(), part[a : a + 1].astype(np.int64).tobytes(), template.tobytes())
-                    out.append((None, name, None, int(leaf[a]), found, template.tobytes()))
-                    out += [(m, name, None, None, None, None) for m in members]
-                elif len(found) >= most:
+                if len(found) >= most:
                     name = _name(leaf[a : a + 1].tobytes(), template.tobytes())
                     out += [(m, name, found[0], None, None, None) for m in members]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in _PARSED.split(", ")])
 
 
-def _merge(batches: Iterator[pa.RecordBatch], most: int, similar: float) -> Iterator[pa.RecordBatch]:
-    """Templates of parts, sorted by leaf, parsed into the leaf's: part's template, leaf's template, first document."""
-    for table in _groups(batches, ["leaf"]):
-        start = np.flatnonzero(np.concatenate([[True], _change(table, ["leaf"])]))
-        out: list[tuple[int, int, int]] = []
-        for a, b in zip(start.tolist(), [*start[1:].tolist(), table.num_rows], strict=True):
-            rows = table.slice(a, b - a).to_pylist()
-            for members, found, template in parse_leaf([(r["template"], tuple(r["docs"]), r["tokens"]) for r in rows], most, similar):
-                if len(found) >= most:
-                    name = _name(np.int64(rows[0]["leaf"]).tobytes(), template.tobytes())
-                    out += [(m, name, found[0]) for m in members]
-        cols = np.array(out, np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[:, k]) for k in range(3)], names=["part_template", "template", "first_doc"])
-
-
 def _texts(documents: DataFrame) -> DataFrame:
     documents.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -241,10 +225,10 @@ def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similar: float = S
     lines = parsed.where("first_doc is not null").select("line", "template", "first_doc")
     if hot.isEmpty():
         return lines
-    templates = parsed.where("leaf is not null").select("leaf", "template", "docs", "tokens").repartition(n, "leaf").sortWithinPartitions("leaf", "template")
-    merged = keep(templates.mapInArrow(lambda b: _merge(b, min_docs, similar), "part_template bigint, template bigint, first_doc bigint"), "merged")
-    members = parsed.where("line is not null and first_doc is null").select("line", F.col("template").alias("part_template"))
-    return keep(lines.unionByName(members.join(merged, "part_template").select("line", "template", "first_doc")), "lines")
+    distinct = parsed.where("leaf is not null").select("leaf", F.lit(0).alias("part"), F.lit(1).alias("parts"), "line", "docs", "tokens")
+    distinct = distinct.repartition(n, "leaf").sortWithinPartitions("leaf", "part")
+    merged = keep(distinct.mapInArrow(lambda b: _parse(b, min_docs, similar), _PARSED), "merged")
+    return keep(lines.unionByName(merged.select("line", "template", "first_doc")), "lines")
 
 
 def dedup(documents: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, broadcast_lines: int = BROADCAST_LINES, large: int = LARGE) -> DataFrame:

@@ -101,3 +101,13 @@ def test_a_large_leaf_is_parsed_in_parts_to_the_same_end(spark, bound):
     whole, parts = (sorted((r.row.doc_id, r.row.text, tuple(r.dropped)) for r in linededup.dedup(docs, broadcast_lines=bound, large=n).collect()) for n in (10**6, 7))
     assert whole == parts
     assert sum(0 in d for _, _, d in whole) == 79 and not any(1 in d or 2 in d for _, _, d in whole)
+
+
+def test_templates_do_not_depend_on_the_size_of_parts(spark):
+    rows = []
+    for k in range(60):
+        a, b = (f"f{chr(97 + k % 26)}{chr(97 + k // 26)} b c d {rest}" for rest in ("e f g", "h i j"))
+        rows += [(4 * k + i, f"{start} {end}") for i, (start, end) in enumerate([(a, "p q r"), (a, "s t u"), (b, "v w x"), (b, "y z o")])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for large in (10**6, 2):
+        assert not any(r.dropped for r in linededup.dedup(docs, large=large).collect())
