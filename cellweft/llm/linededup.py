@@ -15,8 +15,8 @@ A leaf of more than ``LARGE`` rows is dealt out in parts by the lines' hash, whe
 equal lines become one row, and these are dealt out by leaf; so a task holds one
 part's rows or one leaf's distinct lines, and templates do not depend on sizes.
 
-Defined cases: a null text stays null and has no lines; lines without a word and
-of fewer than ``MIN_TOKENS`` tokens are never dropped; null doc_ids count as one
+Defined cases: a null text stays null and has no lines; lines without a word, and those
+of fewer than ``MIN_VARIABLES`` tokens that all have digits, are never dropped; null doc_ids count as one
 document, first of all; repeated rows of an id are one document, each of which
 keeps or drops alike; extra columns are kept as they are.
 """
@@ -38,7 +38,9 @@ from ._store import BATCH_BYTES, keep
 DEPTH = 3
 SIMILAR = 0.7
 MIN_DOCS = 3
-MIN_TOKENS = 3
+MIN_TOKENS = 1
+#: Tokens from which a line may be variables alone.
+MIN_VARIABLES = 3
 #: Rows of a leaf from which its equal lines are joined in parts first.
 LARGE = 20_000
 #: Recurring lines that are sent to every task; beyond it they are joined.
@@ -49,7 +51,7 @@ _DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 
 
 class Parsed:
-    """Lines of a piece: their spans, and of those with enough tokens row, place, hash, leaf and tokens."""
+    """Lines of a piece: their spans, and of those in the tree row, place, hash, leaf and tokens."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         self.lines = T.lines(data, offsets)
@@ -59,7 +61,9 @@ class Parsed:
         h[digits[words.ends] > digits[words.starts]] = _WILD
         first = np.searchsorted(words.starts, self.lines.starts)
         last = np.searchsorted(words.starts, self.lines.ends)
-        self.at = np.flatnonzero(last - first >= MIN_TOKENS)
+        constant = np.concatenate([[0], np.cumsum(h != _WILD)])
+        n = last - first
+        self.at = np.flatnonzero((n >= MIN_TOKENS) & ((n >= MIN_VARIABLES) | (constant[last] > constant[first])))
         self.first, self.last = first[self.at], last[self.at]
         n = self.last - self.first
         up, down = T._powers.get(len(h) + 1)

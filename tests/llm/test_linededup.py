@@ -111,3 +111,10 @@ def test_templates_do_not_depend_on_the_size_of_parts(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     for large in (10**6, 2):
         assert not any(r.dropped for r in linededup.dedup(docs, large=large).collect())
+
+
+def test_short_lines_recur_but_numbers_alone_do_not(spark):
+    rows = [(k, f"Les.\nAnd ornd.\npage {k}\n{k}\n{k} 1{k}\nown{chr(97 + k)}") for k in range(4)]
+    for bound in (10**6, 0):
+        got = linededup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), broadcast_lines=bound).collect()
+        assert sorted((r.row.doc_id, r.dropped) for r in got) == [(0, []), *((k, [0, 1, 2]) for k in (1, 2, 3))]
