@@ -4,8 +4,8 @@ Two texts link at ``SIMILAR`` or more of the union of their sets of
 ``WIDTH``-word shingles.  Candidates come from MinHash: ``BANDS`` bands of
 ``ROWS`` minima each, and texts that agree in a band share its bucket, so a pair
 of similarity 0.8 is missed by all bands with probability 7e-5 and a closer one
-more rarely.  SimHash at 64 bits cannot do this: such pairs differ in about ten
-bits and often in fifteen, where every fingerprint meets every other.
+more rarely.  SimHash at 64 bits does not suit: by estimate such pairs differ in ten
+bits on average and some in fifteen, where blocks no longer tell texts apart.
 
 Every candidate pair is held against the shingle sets themselves before it
 links, unless its texts are one component already.  First each bucket's texts
