@@ -1,10 +1,25 @@
-"""Where intermediate tables go, and how batches of text travel to Python."""
+"""Where intermediate tables go, and how rows are told from a table of keys."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from ..recovery import keep, scratch, shared_dir
 
-__all__ = ["BATCH_BYTES", "keep", "scratch", "shared_dir"]
+__all__ = ["BROADCAST_KEYS", "bounded", "keep", "scratch", "shared_dir", "without"]
+
+#: Rows of two bigints that are sent to every executor (about 64 MB as a hash table); more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def bounded(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A stored table of a few bigint columns: to be broadcast if its count allows, else joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= most else keys.hint("merge")
+
 
-#: Upper bound of one Arrow batch of texts sent to a Python worker.
-BATCH_BYTES = 16 << 20
+def without(rows: DataFrame, names: list[Column], keys: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows, all columns as they are, whose ``names`` are not (left_semi: are) in the stored table ``keys``, column by column."""
+    row = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.struct(*names).alias("own"))
+    other = bounded(keys.select(F.struct(*(F.col(c) for c in keys.columns)).alias("other")))
+    return row.join(other, F.col("own") == F.col("other"), how).select("row.*")

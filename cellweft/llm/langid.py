@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import BATCH_BYTES
 from .toxicity import held_out
 
 UNKNOWN = "und"
@@ -85,7 +84,6 @@ def _bounds(text: bytes) -> list[tuple[int, int]]:
 def predict(documents: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """Columns doc_id, held_out, lang_pred, score (share saved against the second), rejected."""
     spark = documents.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared = spark.sparkContext.broadcast(dictionaries)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_predictor(shared, margin, ["doc_id", "held_out"]), "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
@@ -124,7 +122,6 @@ def _predictor(shared, margin: float, keep: list[str]):
 def keep_identified(documents: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """The documents, all columns as they are, whose language is not rejected."""
     spark = documents.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared = spark.sparkContext.broadcast(dictionaries)
     names = documents.columns
     numbered = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").cast("string").alias("text"))

@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import BATCH_BYTES
 
 COVERAGE = 0.8
 #: Notices and texts of common licenses, as their publishers word them.
@@ -132,7 +131,6 @@ def find(words: list[int], templates: dict[str, list[int]], coverage: float = CO
 def scan(documents: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, n_words and licenses (name, coverage, first and end word; best first) of each row."""
     spark = documents.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     wanted = template_words(TEMPLATES if templates is None else templates)
     wanted = {k: v for k, v in wanted.items() if v}
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first", pa.int32()), ("end", pa.int32())]))

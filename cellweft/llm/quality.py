@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import BATCH_BYTES
 
 BITS = 16
 GRAMS = (2, 3, 4)
@@ -201,7 +200,6 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def score(documents: DataFrame, model: Model, keep_from: float = KEEP_FROM, bits: int = BITS) -> DataFrame:
     """Base counts, calibrated probability and verdict of each row."""
     spark = documents.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ._store import BATCH_BYTES, scratch
+from ._store import scratch
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 #: A run is found whole, so asking for 16 (after AKIA 14) characters equals dropping shorter runs.
@@ -72,7 +72,6 @@ def scan(documents: DataFrame, ledger: str | None = None, rules: str = RULES) ->
     Without a ledger a fresh one is made in the shared folder.
     """
     spark = documents.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     paths = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     paths = paths.withColumn("blob", F.sha2("text", 256))
     known = None

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import BATCH_BYTES, keep, shared_dir
+from ._store import keep, shared_dir
 
 DISTANCE = 4
 WIDTH = 4
@@ -50,8 +50,6 @@ _BYTES = np.arange(256, dtype=np.uint8)[:, None] >> np.arange(7, -1, -1, dtype=n
 
 def fingerprints(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id and the fingerprint (bigint) of each row's whole text."""
-    spark = documents.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

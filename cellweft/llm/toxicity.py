@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import BATCH_BYTES
 
 TOXIC_FROM = 0.3
 BITS = 22
@@ -128,7 +127,6 @@ def fit(texts: list[np.ndarray], y: np.ndarray, terms: int = 4096, min_texts: in
 
 def score(documents: DataFrame, model: Model, toxic_from: float = TOXIC_FROM) -> DataFrame:
     spark = documents.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import BATCH_BYTES, keep, scratch
+from ._store import keep, scratch
 
 MIN_REVISIT = 1000
 #: Payload bytes after which a task begins another archive.
@@ -157,7 +157,6 @@ def plan(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
 
 def write(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """Write archives of one gzip stream each below ``folder``; returns their manifest (path, records)."""
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None

@@ -79,3 +79,41 @@ def test_empty_tables(spark):
     assert decontam.search(d.limit(0), b).count() == 0
     got = decontam.search(d, b.limit(0)).collect()
     assert len(got) == len(docs) and not any(r.contaminated for r in got)
+
+
+def test_repetitive_items_and_texts_stay_small(spark):
+    items = [(k, "ha " * 300) for k in range(40)] + [(90, "ha " * 9), (91, "ho " * 30 + "ha " * 5)]
+    docs = [(k, "ha " * 4000 + "x " * k) for k in range(12)] + [(50, "ho " * 2000), (51, "ha " * 8)]
+    got = decontam.search(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got], key=str) == brute(docs, items)
+
+
+def test_deep_repeats_are_ordered_by_doubled_ranks():
+    rng = np.random.default_rng(3)
+    text = np.concatenate([np.tile(rng.integers(1, 4, 40), 20), rng.integers(1, 3, 300), np.tile([1], 200), [0]]).astype(np.int64)
+    starts = np.arange(len(text) - 1)
+    for longest in (7, 200, 900):
+        sa = decontam.suffix_array(text, starts, 6, longest, rounds=2)
+        padded = np.concatenate([text, np.zeros(longest, np.int64)])
+        keys = [tuple(padded[s : s + longest]) for s in sa]
+        assert keys == sorted(keys) and sorted(sa) == starts.tolist()
+
+
+def test_classes_of_windows_are_listed_in_bounded_steps(monkeypatch):
+    docs, items = corpus(6)
+    block = decontam.Block.of([(str(i), t) for i, t in items], 10)
+    data, offsets = decontam.T.buffers(decontam.pa.array([t for _, t in docs], decontam.pa.large_string()))
+    whole = decontam.search_shard(block, data, offsets)
+    monkeypatch.setattr(decontam, "LISTED", 1)
+    parts = decontam.search_shard(block, data, offsets)
+    assert (whole.items == parts.items).all() and whole.items.shape[1] > 2
+
+
+def test_clean_with_clashing_columns_nulls_and_copies(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    rows = [(1, item, 1, 2, 3), (1, item, 1, 2, 3), (None, None, None, None, None), (2, "", 1, 1, 1), (3, "clean", 4, 5, 6), (3, "clean", 4, 5, 6)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, key1 int, own int, `row` int")
+    got = decontam.clean(d, spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert got.columns == d.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows[2:], key=str)
+    assert decontam.clean(d, spark.createDataFrame([], "item_id bigint, text string")).count() == 6
