@@ -1,29 +1,36 @@
 """Line dedup with a log-template tree.
 
-Each line is parsed by a tree of fixed depth: its token count, then its first
-``DEPTH`` tokens (a token with a digit is a variable).  In a leaf, a line joins
-the template it shares most positions with, variables included, if these are at
-least ``SIMILAR`` of all, and positions that differ become variable fields; else
-it starts a template.  Lines come in order of documents, then hash, so reruns agree.  A
-template found in ``MIN_DOCS`` or more documents recurs: its lines stay in the
-document of least id that has it and are dropped elsewhere.
-
-Equal lines of a batch are one row with the least ``MIN_DOCS`` document ids
-that hold it, which is all that the count of documents needs; so a line that
-most documents share is a few rows.  Leaves are dealt out by hash and streamed.
-A leaf of more than ``LARGE`` rows is dealt out in parts by the lines' hash, where
-equal lines become one row, and these are dealt out by leaf; so a task holds one
-part's rows or one leaf's distinct lines, and templates do not depend on sizes.
+Each line is parsed by a tree of fixed depth: its token count, its first
+``DEPTH`` tokens, then ``BLOCKS`` levels, one for each block of its other tokens
+(of as equal lengths as can be).  A token with a digit is a variable at every
+level.  At a block's level a line goes down the branch of the block's tokens and
+the variable branch, the latter at ``VARIABLE`` blocks at most and as long as
+``SIMILAR`` of all its positions are not in them.  A leaf is a template: lines
+that share it differ in its variable fields alone.  Of a line's leaves only the
+most general are kept, as a template of fewer fields is found wherever its lines
+are.  A template found in ``MIN_DOCS`` or more documents recurs.  A line belongs to
+that of its recurring templates which most documents have (of equal ones, the least
+hash); it stays in the least document that has a line of that template and is
+dropped elsewhere.
+
+Leaves follow from the line alone, and counts are whole, so results do
+not depend on order, layout or size, and no task gathers the lines of a leaf:
+leaves are counted by document as any grouping is.  A pass that
+changes costs only comes before: lines are counted by their leading levels, and what too
+few rows share there isn't taken down the tree.  Equal lines of a batch are one
+row with the documents that hold it.
 
 Defined cases: a null text stays null and has no lines; lines without a word, and those
 of fewer than ``MIN_VARIABLES`` tokens that all have digits, are never dropped; null doc_ids count as one
 document, first of all; repeated rows of an id are one document, each of which
-keeps or drops alike; extra columns are kept as they are.
+keeps or drops alike; lines of any length are parsed whole; extra columns are
+kept as they are, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +43,14 @@ from . import _text as T
 from ._store import keep
 
 DEPTH = 3
+BLOCKS = 7
+VARIABLE = 2
 SIMILAR = 0.7
 MIN_DOCS = 3
 MIN_TOKENS = 1
 #: Tokens from which a line may be variables alone.
 MIN_VARIABLES = 3
-#: Rows of a leaf from which its equal lines are joined in parts first.
-LARGE = 20_000
-#: Recurring lines that are sent to every task; beyond it they are joined.
+#: Recurring lines, or leading levels of the tree, that are sent to every task (16 bytes each); beyond it they are joined.
 BROADCAST_LINES = 2_000_000
 _NO_ID = -(1 << 63)
 _WILD = 1
@@ -51,7 +58,7 @@ _DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 
 
 class Parsed:
-    """Lines of a piece: their spans, and of those in the tree row, place, hash, leaf and tokens."""
+    """Lines of a piece: their spans, and of those in the tree row, place, hash, and leaf of the leading levels."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         self.lines = T.lines(data, offsets)
@@ -66,178 +73,131 @@ class Parsed:
         self.at = np.flatnonzero((n >= MIN_TOKENS) & ((n >= MIN_VARIABLES) | (constant[last] > constant[first])))
         self.first, self.last = first[self.at], last[self.at]
         n = self.last - self.first
-        up, down = T._powers.get(len(h) + 1)
-        sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(T.mix(h) * up[: len(h)], out=sums[1:])
-        self.hash = T.mix((sums[self.last] - sums[self.first]) * down[self.first] + n.astype(np.uint64))
+        up, self.down = T._powers.get(len(h) + 1)
+        self.sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(T.mix(h) * up[: len(h)], out=self.sums[1:])
+        self.hash = self._run(self.first, self.last)
         leaf = T.mix(n.astype(np.uint64))
         for k in range(DEPTH):
             leaf = T.mix(leaf * np.uint64(31) + np.where(n > k, h[np.minimum(self.first + k, len(h) - 1)], 0)) if len(h) else leaf
         self.leaf = leaf
-        self.tokens = np.where(h == _WILD, 0, (h >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
         self.row = self.lines.rows()[self.at]
 
+    def _run(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of the tokens from a to b."""
+        return T.mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
+
+    def templates(self, of: np.ndarray, similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``of``, template) of each most general leaf of the lines ``of``."""
+        first, last, leaf = self.first[of], self.last[of], self.leaf[of]
+        n = last - first
+        rest = np.minimum(first + DEPTH, last)
+        budget = n - np.ceil(similar * n - 1e-9).astype(np.int64)
+        cut = [rest + (last - rest) * b // BLOCKS for b in range(BLOCKS + 1)]
+        size = [cut[b + 1] - cut[b] for b in range(BLOCKS)]
+        block = [T.mix(self._run(cut[b], cut[b + 1]) + np.uint64(b)) for b in range(BLOCKS)]
+        whole = leaf + sum(block, np.zeros(len(of), np.uint64))
+        rows, out = [], []
+        general = {}  # of each choice of blocks: where a larger one is possible
+        for k in range(VARIABLE, -1, -1):
+            for chosen in combinations(range(BLOCKS), k):
+                able = sum((size[b] for b in chosen), np.zeros(len(of), np.int64)) <= budget
+                for b in chosen:
+                    able &= size[b] > 0
+                covered = general.get(chosen, np.zeros(len(of), bool))
+                for b in range(k):
+                    less = chosen[:b] + chosen[b + 1 :]
+                    general[less] = general.get(less, np.zeros(len(of), bool)) | able | covered
+                at = np.flatnonzero(able & ~covered)
+                code = whole[at]
+                for b in chosen:
+                    code = code - block[b][at] + T.mix(np.array([b + BLOCKS + 1], np.uint64))
+                rows.append(at)
+                out.append(T.mix(code))
+        return np.concatenate(rows), np.concatenate(out)
+
 
 def _ids(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column, _NO_ID).to_numpy()
 
 
-def _distinct(line: np.ndarray, doc: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct lines, offsets, and of each line its ``most`` least distinct documents."""
+def _distinct(line: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct lines, offsets, and each line's distinct documents."""
     order = np.lexsort((doc, line))
     line, doc = line[order], doc[order]
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
     line, doc = line[new], doc[new]
     keys, start = np.unique(line, return_index=True)
-    rank = np.arange(len(line)) - np.repeat(start, np.diff(np.append(start, len(line))))
-    few = rank < most
-    count = np.add.reduceat(few.astype(np.int64), start) if len(keys) else np.zeros(0, np.int64)
-    return keys, np.concatenate([[0], np.cumsum(count)]), doc[few]
+    return keys, np.append(start, len(line)), doc
+
+
+def _place(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Where each value is in the sorted table, if it is there."""
+    at = np.searchsorted(table, values)
+    at[at == len(table)] = 0
+    return at
 
 
-def _rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leading levels and in how many documents of a piece they are."""
     for batch in batches:
         ids = _ids(batch.column("doc_id"))
         for i, _, data, offsets in T.pieces(batch.column("text")):
             p = Parsed(data, offsets)
-            if not len(p.at):
-                continue
-            keys, cut, docs = _distinct(p.hash, ids[i + p.row], most)
-            _, one = np.unique(p.hash, return_index=True)
-            size = (p.last - p.first)[one]
-            ends = np.concatenate([[0], np.cumsum(size)])
-            take = np.repeat(p.first[one], size) + np.arange(ends[-1]) - np.repeat(ends[:-1], size)
-            tokens = pa.BinaryArray.from_buffers(pa.binary(), len(one), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(p.tokens[take]))])
-            yield pa.RecordBatch.from_arrays([pa.array(p.leaf[one].view(np.int64)), pa.array(keys.view(np.int64)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(docs)), tokens], names=["leaf", "line", "docs", "tokens"])
-
-
-def parse_leaf(lines: list[tuple[int, tuple[int, ...], bytes]], most: int = MIN_DOCS, similar: float = SIMILAR) -> list[tuple[list[int], list[int], np.ndarray]]:
-    """Templates of a leaf's distinct lines (hash, least documents, tokens): line hashes, least documents, tokens (0: variable)."""
-    lines = sorted(lines, key=lambda x: (-len(x[1]), x[0]))
-    width = len(lines[0][2]) // 4
-    need = int(np.ceil(similar * width - 1e-9))
-    table = np.zeros((8, width), np.uint32)
-    members: list[list[int]] = []
-    docs: list[set[int]] = []
-    for line, ids, tokens in lines:
-        t = np.frombuffer(tokens, np.uint32)
-        if members:
-            same = (table[: len(members)] == t).sum(1)
-            best = int(same.argmax())
-            if same[best] >= need:
-                table[best][table[best] != t] = 0
-                members[best].append(line)
-                docs[best] = set(sorted(docs[best] | set(ids))[:most])
-                continue
-        if len(members) == len(table):
-            table = np.concatenate([table, np.zeros_like(table)])
-        table[len(members)] = t
-        members.append([line])
-        docs.append(set(ids))
-    return [(m, sorted(d), table[k]) for k, (m, d) in enumerate(zip(members, docs, strict=True))]
-
-
-_PARSED = "line bigint, template bigint, first_doc bigint, leaf bigint, docs array<bigint>, tokens binary"
-
-
-def _name(*parts: bytes) -> int:
-    """A template's 64-bit name."""
-    data = b"".join(parts)
-    words = np.frombuffer(data.ljust(-(-len(data) // 8) * 8, b"\0"), np.uint64)
-    return int(T.mix(words + np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum().view(np.int64))
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 32768) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``rows`` rows that hold whole groups; rows come sorted by the keys."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+            keys, cut, _ = _distinct(p.leaf, ids[i + p.row])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.diff(cut))], names=["leaf", "n"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch], similar: float, shared) -> Iterator[pa.RecordBatch]:
+    """Distinct lines of a piece: leaf, line, documents and templates; of the ``shared`` leaves, or of all."""
+    table = None if shared is None else shared.value
     for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= rows:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            border = np.flatnonzero(_change(whole, keys))
-            if len(border):
-                last = int(border[-1]) + 1
-                yield whole.slice(0, last)
-                held = [whole.slice(last)]
-                size -= last
-    if size:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def _change(table: pa.RecordBatch, keys: list[str]) -> np.ndarray:
-    """Whether each row but the last differs from the next in a key."""
-    out = np.zeros(max(0, table.num_rows - 1), bool)
-    for k in keys:
-        v = table.column(k).to_numpy()
-        out |= v[1:] != v[:-1]
-    return out
-
-
-def _parse(batches: Iterator[pa.RecordBatch], most: int, similar: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by leaf and part.  Gives the lines of recurring templates with their first document; of leaves in
-    parts it gives every distinct line (leaf, docs, tokens)."""
-    for table in _groups(batches, ["leaf", "part"]):
-        leaf, part, parts = (table.column(c).to_numpy() for c in ("leaf", "part", "parts"))
-        line, tokens, listed = table.column("line").to_numpy(), table.column("tokens"), table.column("docs")
-        docs, per = listed.flatten().to_numpy(), np.diff(listed.offsets.to_numpy())
-        change = np.concatenate([[True], _change(table, ["leaf", "part"])])
-        group = np.cumsum(change) - 1
-        # documents of each group: a whole leaf with too few cannot have a recurring template
-        pair = np.unique(np.stack([np.repeat(group, per), docs]), axis=1)[0] if len(docs) else np.zeros(0, np.int64)
-        start = np.flatnonzero(change)
-        enough = (np.bincount(pair, minlength=len(start)) >= most) | (parts[start] > 1)
-        stop = np.append(start[1:], len(leaf))
-        cut = np.concatenate([[0], np.cumsum(per)])
-        out: list[tuple] = []
-        for a, b in zip(start[enough].tolist(), stop[enough].tolist(), strict=True):
-            ids: dict[int, set[int]] = {}
-            text: dict[int, bytes] = {}
-            for k in range(a, b):
-                h = int(line[k])
-                ids.setdefault(h, set()).update(docs[cut[k] : cut[k + 1]].tolist())
-                if h not in text:
-                    text[h] = tokens[k].as_py()
-            got = [(h, tuple(sorted(d)[:most]), text[h]) for h, d in ids.items()]
-            if parts[a] > 1:
-                out += [(h, None, None, int(leaf[a]), list(d), t) for h, d, t in got]
-                continue
-            for members, found, template in parse_leaf(got, most, similar):
-                if len(found) >= most:
-                    name = _name(leaf[a : a + 1].tobytes(), template.tobytes())
-                    out += [(m, name, found[0], None, None, None) for m in members]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in _PARSED.split(", ")])
+        ids = _ids(batch.column("doc_id"))
+        for i, _, data, offsets in T.pieces(batch.column("text")):
+            p = Parsed(data, offsets)
+            leaf = p.leaf.view(np.int64)
+            of = np.arange(len(leaf)) if table is None else np.flatnonzero(table[_place(leaf, table)] == leaf) if len(table) else np.zeros(0, np.int64)
+            keys, cut, docs = _distinct(p.hash[of], ids[i + p.row[of]])
+            one = of[np.unique(p.hash[of], return_index=True)[1]]
+            row, template = p.templates(one, similar)
+            order = np.argsort(row, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(one)))])
+            lists = (pa.ListArray.from_arrays(pa.array(c.astype(np.int32)), pa.array(v)) for c, v in ((cut, docs), (ends, template[order].view(np.int64))))
+            yield pa.RecordBatch.from_arrays([pa.array(p.leaf[one].view(np.int64)), pa.array(keys.view(np.int64)), *lists], names=["leaf", "line", "docs", "templates"])
 
 
 def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, large: int = LARGE) -> DataFrame:
+def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """line (hash), template (hash) and first_doc of the lines of recurring templates."""
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = keep(_texts(documents).mapInArrow(lambda b: _rows(b, min_docs), "leaf bigint, line bigint, docs array<bigint>, tokens binary"), "rows")
-    hot = keep(rows.groupBy("leaf").count().where(F.col("count") > large).select(F.col("leaf").alias("hot"), F.ceil(F.col("count") / large).cast("int").alias("n")), "leaves")
-    parts = F.coalesce("n", F.lit(1))
-    dealt = rows.join(hot, F.col("leaf") == F.col("hot"), "left").select("leaf", F.pmod("line", parts).cast("int").alias("part"), parts.alias("parts"), "line", "docs", "tokens")
-    dealt = dealt.repartition(n, "leaf", "part").sortWithinPartitions("leaf", "part")
-    parsed = keep(dealt.mapInArrow(lambda b: _parse(b, min_docs, similar), _PARSED), "parsed")
-    lines = parsed.where("first_doc is not null").select("line", "template", "first_doc")
-    if hot.isEmpty():
-        return lines
-    distinct = parsed.where("leaf is not null").select("leaf", F.lit(0).alias("part"), F.lit(1).alias("parts"), "line", "docs", "tokens")
-    distinct = distinct.repartition(n, "leaf").sortWithinPartitions("leaf", "part")
-    merged = keep(distinct.mapInArrow(lambda b: _parse(b, min_docs, similar), _PARSED), "merged")
-    return keep(lines.unionByName(merged.select("line", "template", "first_doc")), "lines")
-
-
-def dedup(documents: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, broadcast_lines: int = BROADCAST_LINES, large: int = LARGE) -> DataFrame:
+    texts = _texts(documents)
+    leads = texts.mapInArrow(_leads, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    leads = keep(leads, "leads")
+    shared = None
+    if leads.count() <= broadcast_lines:
+        shared = documents.sparkSession.sparkContext.broadcast(np.sort(leads.toArrow().column("leaf").to_numpy()))
+    rows = texts.mapInArrow(lambda b: _rows(b, similar, shared), "leaf bigint, line bigint, docs array<bigint>, templates array<bigint>")
+    if shared is None:
+        rows = rows.join(leads, "leaf", "left_semi")
+    rows = keep(rows.drop("leaf"), "rows")
+    if shared is not None:
+        shared.destroy()
+    places = rows.select("line", "docs", F.explode("templates").alias("template"))
+    found = places.select("template", F.explode("docs").alias("doc")).distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    own = places.select("line", "template", F.array_min("docs").alias("least")).join(keep(found, "templates"), "template")
+    best = F.min(F.struct((-F.col("n")).alias("fewer"), "template"))
+    own = own.groupBy("line").agg(best.alias("best"), F.min("least").alias("least")).select("line", "best.template", "least")
+    own = keep(own, "chosen")
+    return keep(own.join(own.groupBy("template").agg(F.min("least").alias("first_doc")), "template").select("line", "template", "first_doc"), "lines")
+
+
+def dedup(documents: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """Struct ``row`` (the document, its text without dropped lines), n_lines and dropped (line numbers from 0)."""
     spark = documents.sparkSession
-    lines = recurring(documents, min_docs, similar, large)
+    lines = recurring(documents, min_docs, similar, broadcast_lines)
     names = documents.columns
     whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if lines.count() <= broadcast_lines:
@@ -276,8 +236,7 @@ def _drop(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
         for i, j, data, offsets in T.pieces(batch.column("text")):
             p = Parsed(data, offsets)
             h = p.hash.view(np.int64)
-            at = np.searchsorted(line, h)
-            at[at == len(line)] = 0
+            at = _place(h, line)
             gone = (line[at] == h) & (first[at] != ids[i + p.row]) if len(line) else np.zeros(len(h), bool)
             gone = p.at[gone]
             keep_line = np.ones(len(p.lines.starts), bool)

@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._store import keep
-from .linededup import _change, _groups
 from .simhash import _union, components
 
 WIDTH = 5
@@ -166,6 +165,34 @@ def links(documents: DataFrame, distinct: DataFrame, width: int = WIDTH, similar
     return found.union(keep(units.mapInArrow(lambda b: _meet(b, similar), "a bigint, b bigint"), "more"))
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 32768) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``rows`` rows that hold whole groups; rows come sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            border = np.flatnonzero(_change(whole, keys))
+            if len(border):
+                last = int(border[-1]) + 1
+                yield whole.slice(0, last)
+                held = [whole.slice(last)]
+                size -= last
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _change(table: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Whether each row but the last differs from the next in a key."""
+    out = np.zeros(max(0, table.num_rows - 1), bool)
+    for k in keys:
+        v = table.column(k).to_numpy()
+        out |= v[1:] != v[:-1]
+    return out
+
+
 def _meet(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket, x and y: links that connect what is similar in each and not one root already."""
     keys = ["bucket", "x", "y"]

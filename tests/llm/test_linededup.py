@@ -1,51 +1,72 @@
 import re
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from cellweft.llm import _text as T
 from cellweft.llm import linededup
 
+SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 
-def brute(rows, min_docs=3, similar=0.7):
-    """The same tree, line by line: templates of each leaf in order of documents, then hash."""
-    spaced = re.compile(r"[^\x20\x09-\x0D]+")
-    import pyarrow as pa
 
-    from cellweft.llm import _text as T
+def masked(line):
+    words = SPACED.findall(line)
+    out = tuple("<*>" if re.search("[0-9]", w) else w for w in words)
+    return out if out and (len(out) >= linededup.MIN_VARIABLES or set(out) != {"<*>"}) else None
+
+
+def leaves(words, similar=0.7):
+    """Every leaf of a line, word by word, but for those that another one generalises."""
+    n, head = len(words), words[: linededup.DEPTH]
+    rest = words[linededup.DEPTH :]
+    cut = [len(rest) * b // linededup.BLOCKS for b in range(linededup.BLOCKS + 1)]
+    parts = [rest[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+    free = n - int(np.ceil(similar * n - 1e-9))
+    full = [b for b, p in enumerate(parts) if p]
+    able = [set(c) for k in range(linededup.VARIABLE + 1) for c in combinations(full, k) if sum(len(parts[b]) for b in c) <= free]
+    able = [c for c in able if not any(c < d for d in able)]
+    return {(n, head, tuple("<any>" if b in c else p for b, p in enumerate(parts))) for c in able}
+
 
-    leaves, hashes = {}, {}
+def brute(rows, min_docs=3, similar=0.7):
+    lines, docs = {}, {}
     for i, text in rows:
         for line in (text or "").split("\n"):
-            words = spaced.findall(line)
-            if len(words) < linededup.MIN_TOKENS:
-                continue
-            masked = tuple("<*>" if re.search("[0-9]", w) else w for w in words)
-            if masked not in hashes:
-                data, offsets = T.buffers(pa.array([line]))
-                hashes[masked] = int(linededup.Parsed(data, offsets).hash[0])
-            leaves.setdefault((len(masked), masked[: linededup.DEPTH]), {}).setdefault(masked, set()).add(i)
-    first = {}
-    for leaf in leaves.values():
-        templates = []
-        for masked, ids in sorted(leaf.items(), key=lambda x: (-min(len(x[1]), min_docs), hashes[x[0]])):
-            fit = [sum(a == b for a, b in zip(t[0], masked, strict=True)) for t in templates]
-            k = int(np.argmax(fit)) if fit else -1
-            if fit and fit[k] >= np.ceil(similar * len(masked) - 1e-9):
-                templates[k][0] = tuple(a if a == b else "<*>" for a, b in zip(templates[k][0], masked, strict=True))
-                templates[k][1] |= ids
-                templates[k][2].append(masked)
-            else:
-                templates.append([masked, set(ids), [masked]])
-        for _, ids, members in templates:
-            if len(ids) >= min_docs:
-                first |= {m: min(ids) for m in members}
+            m = masked(line)
+            if m is not None:
+                lines.setdefault(m, set()).add(-(1 << 63) if i is None else i)
+    for m, ids in lines.items():
+        for leaf in leaves(m, similar):
+            docs.setdefault(leaf, set()).update(ids)
+
+    def code(m, leaf):
+        """The least hash decides between templates of equally many documents: found through the operator's own numbers."""
+        return numbers[m][leaf]
+
+    numbers = {}
+    for m in lines:
+        data, offsets = T.buffers(pa.array([" ".join("0" if w == "<*>" else w for w in m)]))
+        p = linededup.Parsed(data, offsets)
+        _, got = p.templates(np.arange(1), similar)
+        own = sorted(leaves(m, similar), key=lambda x: [b for b, y in enumerate(x[2]) if y == "<any>"])
+        assert len(own) == len(got)
+        numbers[m] = dict(zip(own, got.view(np.int64).tolist(), strict=True))
+    chosen, first = {}, {}
+    for m, ids in lines.items():
+        able = [x for x in numbers[m] if len(docs[x]) >= min_docs]
+        if able:
+            best = max(able, key=lambda x: (len(docs[x]), -code(m, x)))
+            chosen[m] = best
+            first[best] = min(first.get(best, min(ids)), min(ids))
     out = []
     for i, text in rows:
         kept, gone = [], []
         for k, line in enumerate((text or "").split("\n")):
-            words = spaced.findall(line)
-            masked = tuple("<*>" if re.search("[0-9]", w) else w for w in words)
-            (gone if masked in first and len(words) >= linededup.MIN_TOKENS and first[masked] != i else kept).append(k if masked in first and first[masked] != i and len(words) >= linededup.MIN_TOKENS else line)
+            m = masked(line)
+            drop = m in chosen and first[chosen[m]] != (-(1 << 63) if i is None else i)
+            (gone if drop else kept).append(k if drop else line)
         out.append((i, None if text is None else "\n".join(kept), gone))
     return sorted(out, key=str)
 
@@ -63,16 +84,57 @@ def corpus(seed):
         if k % 5 == 0:
             lines.append("user wa has logged in from wb here today again please")
         rows.append((k, "\n".join(lines)))
-    return [*rows, (100, None), (101, ""), (102, "\n\n"), (103, "Copyright 1 by the makers of page 9\n" * 3), (104, "x " * 20_000 + "\nCopyright 1 by the makers of page 9")]
+    return [*rows, (None, "Copyright 5 by the makers of page 1"), (100, None), (101, ""), (102, "\n\n"), (103, "Copyright 1 by the makers of page 9\n" * 3), (104, "x " * 20_000 + "\nCopyright 1 by the makers of page 9")]
+
+
+def result(docs, **options):
+    return sorted([(r.row.doc_id, r.row.text, list(r.dropped)) for r in linededup.dedup(docs, **options).collect()], key=str)
 
 
 @pytest.mark.parametrize(("seed", "bound"), [(0, 10**6), (0, 0), (3, 10**6), (3, 0)])
 def test_matches_a_plain_tree_both_ways(spark, seed, bound):
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, n_lines int").repartition(4)
-    got = linededup.dedup(docs, broadcast_lines=bound)
-    assert got.select("row.*").columns == docs.columns
-    assert sorted([(r.row.doc_id, r.row.text, list(r.dropped)) for r in got.collect()], key=str) == brute(rows)
+    assert linededup.dedup(docs, broadcast_lines=bound).select("row.*").columns == docs.columns
+    assert result(docs, broadcast_lines=bound) == brute(rows)
+
+
+def test_most_general_leaves_by_length():
+    for n in (1, 3, 4, 6, 7, 9, 10, 11, 12, 13, 40):
+        data, offsets = T.buffers(pa.array([" ".join(f"w{chr(97 + k % 26)}{'x' * k}" for k in range(n))]))
+        rows, got = linededup.Parsed(data, offsets).templates(np.arange(1))
+        assert len(set(got.tolist())) == len(got) == len(leaves(tuple(range(n)))) and not rows.any()
+
+
+def test_thousands_of_close_lines_in_one_leaf_whatever_the_layout(spark):
+    rng = np.random.default_rng(8)
+    words = [f"n{chr(97 + k)}{chr(97 + j)}" for k in range(26) for j in range(4)]
+    rows = [(k, f"the same event: {' '.join(rng.choice(words[:4], 7))}\nthe same event: {rng.choice(words)} moved {rng.choice(words)} out of here ok") for k in range(3000)]
+    want = brute(rows)
+    assert sum(1 in d for _, _, d in want) == 2999 and 500 < sum(0 in d for _, _, d in want) < 2999
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for parts, bound, batch in ((1, 10**6, 10_000), (7, 10**6, 50), (31, 0, 10_000)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            assert result(docs.repartition(parts), broadcast_lines=bound) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_other_lines_of_a_leaf_stay(spark):
+    rng = np.random.default_rng(8)
+    words = [f"n{chr(97 + k)}{chr(97 + j)}" for k in range(26) for j in range(4)]
+    rows = [(k, f"the same event: {rng.choice(words)} moved {rng.choice(words)} out of here\n{' '.join(rng.choice(words, 9))}\nthe same event: {' '.join(rng.choice(words, 6))}") for k in range(80)]
+    got = result(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    assert sum(0 in d for _, _, d in got) == 79 and not any(1 in d or 2 in d for _, _, d in got)
+
+
+def test_lines_that_two_share_do_not_recur(spark):
+    rows = []
+    for k in range(60):
+        a, b = (f"f{chr(97 + k % 26)}{chr(97 + k // 26)} b c d {rest}" for rest in ("e f g", "h i j"))
+        rows += [(4 * k + i, f"{start} {end}") for i, (start, end) in enumerate([(a, "p q r"), (a, "s t u"), (b, "v w x"), (b, "y z o")])]
+    assert not any(d for _, _, d in result(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)))
 
 
 def test_repeated_rows_and_null_ids(spark):
@@ -89,30 +151,6 @@ def test_one_document_alone_never_recurs(spark):
     assert all(not r.dropped for r in got)
 
 
-@pytest.mark.parametrize("bound", [10**6, 0])
-def test_a_large_leaf_is_parsed_in_parts_to_the_same_end(spark, bound):
-    rng = np.random.default_rng(8)
-    words = [f"n{chr(97 + k)}{chr(97 + j)}" for k in range(26) for j in range(4)]
-    rows = []
-    for k in range(80):
-        own = " ".join(rng.choice(words, 9))
-        rows.append((k, f"the same event: {rng.choice(words)} moved {rng.choice(words)} out of here\n{own}\nthe same event: {' '.join(rng.choice(words, 6))}"))
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    whole, parts = (sorted((r.row.doc_id, r.row.text, tuple(r.dropped)) for r in linededup.dedup(docs, broadcast_lines=bound, large=n).collect()) for n in (10**6, 7))
-    assert whole == parts
-    assert sum(0 in d for _, _, d in whole) == 79 and not any(1 in d or 2 in d for _, _, d in whole)
-
-
-def test_templates_do_not_depend_on_the_size_of_parts(spark):
-    rows = []
-    for k in range(60):
-        a, b = (f"f{chr(97 + k % 26)}{chr(97 + k // 26)} b c d {rest}" for rest in ("e f g", "h i j"))
-        rows += [(4 * k + i, f"{start} {end}") for i, (start, end) in enumerate([(a, "p q r"), (a, "s t u"), (b, "v w x"), (b, "y z o")])]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    for large in (10**6, 2):
-        assert not any(r.dropped for r in linededup.dedup(docs, large=large).collect())
-
-
 def test_short_lines_recur_but_numbers_alone_do_not(spark):
     rows = [(k, f"Les.\nAnd ornd.\npage {k}\n{k}\n{k} 1{k}\nown{chr(97 + k)}") for k in range(4)]
     for bound in (10**6, 0):
