@@ -7,19 +7,24 @@ The targets are a water level: target = min(limit x size, level x weight).
 A document of its source's rate r = target / size is taken floor(r) times and
 once more with probability frac(r).  These probabilities are rounded in pairs:
 mass, in words, moves at random from one document of a pair to the other until
-one probability is 0 or 1.  Pairs keep the words a source yields; the choice for
-its last document is balanced by others of that task, as far as their sizes fit,
-so small sources come near their targets too.  Documents meet in leaves of
+one probability is 0 or 1.  Pairs keep the words a source yields.  Documents meet in leaves of
 about ``LEAF`` documents of one source; each leaf leaves at most one document
 undecided, and these meet again in a tree of ``FAN`` children a node, so no task
 gets a whole source.  Each source has a tree of its own height.  Along with the
 undecided document goes a bounded choice of decided ones, graded by size and
-with as many words as it has, so the root can balance too.  Draws are hashes, leaves follow from hashes and counts,
-so reruns agree.
+with as many words as it has.  At its root the source's last document is drawn, and
+what that leaves of its target is balanced by the others there: the one change, or pair of
+changes, that brings it nearest is made until none brings it nearer, first
+among the copies that rounding allows, then among 0 to ``limit`` copies.
+
+Equal rows (doc_id, source, size) are counted first and dealt out in runs of
+``RUN``, so an id that many rows share, or none, is spread like others.  Draws are
+hashes, leaves follow from hashes and counts, so reruns agree.
 
 Defined cases: a null text has size 0 and is taken 0 words; null sources are one
 source, last in order; an empty table gives an empty result; repeated rows are
-separate documents; extra columns are ignored.
+separate documents; texts of any length are counted whole; ties follow hashes;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,13 +47,15 @@ FAN = 64
 #: Decided documents of each choice that a node passes up: so many of each power of two in size, and at most so many for their words.
 GRADE = 4
 FILL = 1024
+#: Equal rows that are dealt out together.
+RUN = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """source, source_size, n, target of each source of ``sizes`` (source, size)."""
+    """source, source_size, n, target of each source of ``sizes`` (source, size, and n rows of them)."""
     spark = sizes.sparkSession
-    table = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    table = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
     # places in code point order without one task for all: counts before each sorted partition
     table = keep(table.orderBy(F.col("source").asc_nulls_last()).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "sources")
     counts = {r.part: r.n for r in table.groupBy("part").agg(F.count("*").alias("n")).collect()}
@@ -80,7 +87,7 @@ def _draw(*parts) -> float:
 def _round(ids: list, sizes: list[int], chance: list[float], last: bool) -> list[float]:
     """Pivotal rounding along a list; returns the chances, at most one not 0 or 1 (none if ``last``).
 
-    Chances of 0 and 1 are choices made before; ``last`` may turn them to balance.
+    Chances of 0 and 1 are choices made before.
     """
     out = list(chance)
     live = -1
@@ -105,17 +112,35 @@ def _round(ids: list, sizes: list[int], chance: list[float], last: bool) -> list
             out[i], out[j] = (0.0 if i_done else out[i] - move / a), (1.0 if j_done else out[j] + move / b)
         live = j if 0.0 < out[j] < 1.0 else i if 0.0 < out[i] < 1.0 else -1
     if last and live >= 0:
-        up = _draw(ids[live], sizes[live], "last") < out[live]
-        over = (1 - out[live] if up else -out[live]) * sizes[live]
-        out[live] = 1.0 if up else 0.0
-        # words too many or too few by this last choice go to documents that fit, largest first
-        for k in sorted(range(len(out)), key=lambda k: (-sizes[k], k)):
-            if k != live and sizes[k] > 0 and out[k] == (1.0 if up else 0.0) and sizes[k] <= abs(over):
-                out[k] = 0.0 if up else 1.0
-                over -= sizes[k] if up else -sizes[k]
+        out[live] = 1.0 if _draw(ids[live], sizes[live], "last") < out[live] else 0.0
     return out
 
 
+def _balance(sizes: np.ndarray, copies: np.ndarray, low: np.ndarray, high: np.ndarray, over: float) -> float:
+    """Change ``copies`` by one here and there, between ``low`` and ``high``, while that brings the words ``over`` nearer to 0."""
+    while True:
+        up, down = np.flatnonzero((copies < high) & (sizes > 0)), np.flatnonzero((copies > low) & (sizes > 0))
+        at, step = np.concatenate([[-1], up, down]), np.concatenate([[0], sizes[up], -sizes[down]])
+        order = np.lexsort((at, step))
+        at, step = at[order], step[order]
+        # of each change, the change that fits it best: beside -over - step
+        place = np.searchsorted(step, -over - step)
+        best, pair = abs(over), None
+        for other in (place - 1, place, place + 1):
+            other = np.clip(other, 0, len(step) - 1)
+            left = np.abs(over + step + step[other])
+            left[(at == at[other]) & (at >= 0)] = np.inf
+            k = int(np.argmin(left))
+            if left[k] < best - 1e-6:
+                best, pair = float(left[k]), (k, int(other[k]))
+        if pair is None:
+            return over
+        for k in pair:
+            if at[k] >= 0:
+                copies[at[k]] += 1 if step[k] > 0 else -1
+            over += float(step[k])
+
+
 def _passed(sizes: list[int], chance: list[float]) -> list[bool]:
     """Whether each row, largest first, goes up: the undecided one, and of each choice what can balance it."""
     open_ = [k for k, c in enumerate(chance) if 0.0 < c < 1.0]
@@ -136,10 +161,10 @@ def _passed(sizes: list[int], chance: list[float]) -> list[bool]:
     return out
 
 
-_ROW = "node bigint, nodes bigint, source string, doc_id bigint, size bigint, copies int, chance double, source_size bigint, target double, up boolean"
+_ROW = "node bigint, nodes bigint, source string, doc_id bigint, key bigint, size bigint, copies int, chance double, source_size bigint, target double, up boolean"
 
 
-def _reduce(rows: DataFrame) -> DataFrame:
+def _reduce(rows: DataFrame, limit: int) -> DataFrame:
     """Round within each (source, node), rows in order of size, largest first; ``up`` rows go to the next level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +174,18 @@ def _reduce(rows: DataFrame) -> DataFrame:
             sizes, last = [r["size"] for r in group], group[0]["nodes"] <= 1
             got = _round([r["doc_id"] for r in group], sizes, [r["chance"] for r in group], last)
             for r, c, up in zip(group, got, [False] * len(got) if last else _passed(sizes, got), strict=True):
-                r["chance"], r["up"] = c, up
+                r["was"], r["chance"], r["up"] = r["chance"], c, up
+            if last:
+                size, base = np.array(sizes, np.int64), np.array([r["copies"] for r in group], np.int64)
+                copies = base + np.array(got).astype(np.int64)
+                over = sum((r["chance"] - r["was"]) * r["size"] for r in group)
+                # documents of a whole rate may not change by rounding
+                over = _balance(size, copies, base, np.minimum(base + 1, limit), over)
+                _balance(size, copies, np.zeros_like(base), np.full_like(base, limit), over)
+                for r, c in zip(group, copies.tolist(), strict=True):
+                    r["copies"], r["chance"] = c, 0.0
+            for r in group:
+                del r["was"]
             return pa.RecordBatch.from_pylist(group, schema=kind)
 
         kind = None
@@ -164,7 +200,7 @@ def _reduce(rows: DataFrame) -> DataFrame:
             yield done(held)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["source", "node", F.col("size").desc(), F.xxhash64("doc_id"), "doc_id", "chance"]
+    order = ["source", "node", F.col("size").desc(), F.xxhash64("doc_id", "key"), "doc_id", "key", "chance"]
     return rows.repartition(n, "source", "node").sortWithinPartitions(*order).mapInArrow(run, _ROW)
 
 
@@ -173,18 +209,25 @@ def words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken (words) of each row."""
-    rows = keep(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), words("text").alias("size")), "sizes")
-    return _decide(rows, weights, limit)
+def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, key: Column | None = None) -> DataFrame:
+    """doc_id, source, key, size, source_size, target, copies and taken (words) of each row.
+
+    ``key`` (bigint, such as a hash of the text) tells rows apart that are alike in doc_id, source and size.
+    """
+    key = F.lit(0) if key is None else key
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), key.cast("bigint").alias("key"), words("text").alias("size"))
+    return _decide(keep(rows.groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("n")), "sizes"), weights, limit)
 
 
-def _decide(rows: DataFrame, weights: tuple[int, ...], limit: int) -> DataFrame:
-    spark = rows.sparkSession
-    targets = keep(source_targets(rows, weights, limit), "targets")
+def _decide(counted: DataFrame, weights: tuple[int, ...], limit: int) -> DataFrame:
+    targets = keep(source_targets(counted, weights, limit), "targets")
+    # each row again, and the run of equal rows it is in
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RUN))))
+    rows = runs.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(RUN), F.col("n") - F.col("run") * RUN).cast("int")))).drop("_", "n")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    nodes = F.ceil(F.col("t.n") / LEAF)
     dealt = rows.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
-        F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("n") / LEAF)).alias("node"), F.ceil(F.col("n") / LEAF).alias("nodes"), F.col("d.source").alias("source"), "doc_id", "size",
+        F.pmod(F.xxhash64("doc_id", "key", "run"), nodes).alias("node"), nodes.alias("nodes"), F.col("d.source").alias("source"), "doc_id", "key", "size",
         F.when(F.col("size") > 0, F.floor(rate)).otherwise(0).cast("int").alias("copies"), F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0).alias("chance"), "source_size", "target", F.lit(False).alias("up"),
     )
     open_ = (F.col("chance") > 0) & (F.col("chance") < 1)
@@ -192,7 +235,7 @@ def _decide(rows: DataFrame, weights: tuple[int, ...], limit: int) -> DataFrame:
     most = targets.agg(F.max("n")).first()[0] or 0
     nodes, out, level = math.ceil(most / LEAF), [settled], dealt.where(open_)
     while True:
-        got = keep(_reduce(level), "rounded")
+        got = keep(_reduce(level, limit), "rounded")
         out.append(got.where(~F.col("up")))
         if nodes <= 1:
             break
@@ -202,4 +245,4 @@ def _decide(rows: DataFrame, weights: tuple[int, ...], limit: int) -> DataFrame:
     for part in out[1:]:
         whole = whole.unionByName(part)
     copies = F.col("copies") + F.col("chance").cast("int")
-    return whole.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+    return whole.select("doc_id", "source", "key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
