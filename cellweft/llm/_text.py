@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -168,3 +170,9 @@ def row_sums(values: np.ndarray, row: np.ndarray) -> np.ndarray:
         values = values.astype(np.int64)
     total = np.concatenate([[0], np.cumsum(values)])
     return total[row[1:]] - total[row[:-1]]
+
+
+def one_text(documents: DataFrame, chosen: DataFrame, more: list[str]) -> DataFrame:
+    """doc_id, ``more`` and one text (the least) of each of the chosen doc_ids, a bounded number."""
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *more).agg(F.min("text").alias("text"))

@@ -6,12 +6,18 @@ term has a short vector; the product of two terms' vectors weighs the pair, so
 an insult scores otherwise beside a group than alone.
 
 Training: at most ``max_rows`` labelled rows, those of least hash among rows
-whose crc32(doc_id as text) mod 4 is not 2.  Terms of at least ``min_texts``
-sampled texts are ranked by chi-square and the best ``terms`` kept.  Scores
-cover whole texts.
+whose crc32(doc_id as text) mod 4 is not 2, one text an id (the least).  The
+machine sees every term that ``min_share`` of the sampled texts hold (3 texts at
+least), whatever its own relation to the label, so a pair can be learned of
+which neither term shows anything alone.  Steps take an eighth of the rows; after
+each, weights and vectors shrink towards zero, and what reaches it is no part of
+the model.  Scores cover whole texts.
 
 Defined cases: null and empty texts get the score of a text without terms;
 null doc_ids are held in no fold and never learned; repeated rows score alike;
+a doc_id with labels of both kinds counts as toxic; texts of any length are
+scored whole; extra columns, such as label or score, are ignored; an empty table
+gives an empty result;
 without labels of both classes every score is the share of label 1 (0 if none).
 """
 
@@ -69,7 +75,7 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(at), np.concatenate(out).astype(np.int32)
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = 8000, terms: int = 4096, min_texts: int = 3, factors: int = 4, steps: int = 200, seed: int = 7) -> Model:
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 8000, min_share: float = 0.004, factors: int = 4, epochs: int = 30, seed: int = 7) -> Model:
     chosen = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("label is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
 
@@ -84,45 +90,53 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 8000, terms:
                     names=["doc_id", "label", "terms"],
                 )
 
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(featurise, "doc_id bigint, label int, terms binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.terms)))
-    return fit([np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.label > 0 for r in rows], float), terms, min_texts, factors, steps, seed)
+    texts = T.one_text(documents, chosen, ["label"])
+    rows = texts.select("doc_id", "label", "text").mapInArrow(featurise, "doc_id bigint, label int, terms binary").collect()
+    rows.sort(key=lambda r: r.doc_id)
+    return fit([np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.label > 0 for r in rows], float), min_share, factors, epochs, seed)
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, terms: int = 4096, min_texts: int = 3, factors: int = 4, steps: int = 200, seed: int = 7) -> Model:
-    """Adam on the logistic loss of all sampled rows at once."""
+def fit(texts: list[np.ndarray], y: np.ndarray, min_share: float = 0.004, factors: int = 4, epochs: int = 30, seed: int = 7) -> Model:
+    """Adam on the logistic loss with proximal shrinkage; ``texts`` are distinct terms."""
     if len(y) < 2 or y.min() == y.max():
         return Model(bias=20.0 if len(y) and y[0] else -20.0)
     size, cols = np.array([len(t) for t in texts]), np.concatenate(texts)
-    row = np.repeat(np.arange(len(y)), size)
     found, inverse, count = np.unique(cols, return_inverse=True, return_counts=True)
-    positive = np.bincount(inverse, y[row], len(found))
-    rate = y.mean()
-    gain = (positive - count * rate) ** 2 / (count * rate * (1 - rate) * np.maximum(1 - count / len(y), 0.02))
-    gain[count < min_texts] = 0
-    best = np.sort(np.argsort(-gain, kind="stable")[:terms])
-    best = best[gain[best] > 3]
-    place = np.full(len(found), -1)
-    place[best] = np.arange(len(best))
-    term = place[inverse]
-    row, term = row[term >= 0], term[term >= 0]
-    n, k = len(y), len(best)
+    some = count >= max(3, int(min_share * len(y)))
+    found, place = found[some], np.cumsum(some) - 1
+    held = some[inverse]
+    row, term = np.repeat(np.arange(len(y)), size)[held], place[inverse][held]
+    cut = np.searchsorted(row, np.arange(len(y) + 1))
+    rate, k = y.mean(), len(found)
     rng = np.random.default_rng(seed)
-    params = [np.array([np.log(rate / (1 - rate))]), np.zeros(k), rng.normal(0, 0.05, (k, factors))]
+    params = [np.array([np.log(rate / (1 - rate))], np.float32), np.zeros(k, np.float32), rng.normal(0, 0.1, (k, factors)).astype(np.float32)]
     first, second = ([np.zeros_like(p) for p in params] for _ in range(2))
-    for step in range(1, steps + 1):
-        b, w, v = params
-        sums = np.stack([np.bincount(row, v[term, f], n) for f in range(factors)], 1)
-        z = b[0] + np.bincount(row, w[term], n) + 0.5 * sum(sums[:, f] ** 2 - np.bincount(row, v[term, f] ** 2, n) for f in range(factors))
-        g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / n
-        on = g[row]
-        dv = np.stack([np.bincount(term, on * (sums[row, f] - v[term, f]), k) for f in range(factors)], 1)
-        grads = [np.array([g.sum()]), np.bincount(term, on, k) + 2e-6 * w, dv + 2e-5 * v]
-        for p, d, m, s in zip(params, grads, first, second, strict=True):
-            m += 0.1 * (d - m)
-            s += 0.01 * (d * d - s)
-            p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    return Model(float(params[0][0]), found[best].astype(np.int32), params[1], params[2])
+    step = 0
+    for epoch in range(epochs):
+        pace = 0.03 * (1 - 0.9 * epoch / epochs)
+        for part in np.array_split(rng.permutation(len(y)), 8):
+            if not len(part):
+                continue
+            step += 1
+            n = cut[part + 1] - cut[part]
+            r = np.repeat(np.arange(len(part)), n)
+            t = term[np.repeat(cut[part] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            b, w, v = params
+            own = v[t]
+            sums = np.stack([np.bincount(r, own[:, f], len(part)) for f in range(factors)], 1)
+            z = b[0] + np.bincount(r, w[t], len(part)) + 0.5 * ((sums * sums).sum(1) - np.bincount(r, (own * own).sum(1), len(part)))
+            g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[part]) / len(part)
+            on = g[r]
+            dw = np.bincount(t, on, k)
+            dv = np.stack([np.bincount(t, on * sums[r, f], k) for f in range(factors)], 1) - dw[:, None] * v
+            for p, d, m, s in zip(params, (np.array([g.sum()]), dw, dv), first, second, strict=True):
+                m += 0.1 * (d - m)
+                s += 0.01 * (d * d - s)
+                p -= (pace * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            np.copyto(w, np.sign(w) * np.maximum(np.abs(w) - pace * 0.2, 0))
+            v *= np.maximum(0, 1 - pace * 0.1 / (np.sqrt((v * v).sum(1, keepdims=True)) + 1e-12))
+    live = (params[1] != 0) | (params[2] != 0).any(1)
+    return Model(float(params[0][0]), found[live].astype(np.int32), params[1][live].astype(float), params[2][live].astype(float))
 
 
 def score(documents: DataFrame, model: Model, toxic_from: float = TOXIC_FROM) -> DataFrame:

@@ -45,3 +45,33 @@ def test_odd_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
     for table, value in ((labels.limit(0), 0), (labels.where("toxic = 1"), 1)):
         assert {r.predicted for r in toxicity.score(docs, toxicity.train(docs, table)).collect()} == {value}
+
+
+def test_learns_an_interaction_without_any_main_effect():
+    rng = np.random.default_rng(1)
+    texts, y = [], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.5
+        texts.append(np.sort(np.concatenate([rng.choice(60, 20, replace=False), [100] * int(a), [101] * int(b)])).astype(np.int32))
+        y.append(float(a ^ b))
+    model = toxicity.fit(texts[:2000], np.array(y[:2000]))
+    place = {int(b): k for k, b in enumerate(model.buckets)}
+    own = [[place[t] for t in x.tolist() if t in place] for x in texts[2000:]]
+    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    got = model.score(row, np.concatenate([np.array(x, int) for x in own]), len(own))
+    assert np.mean((got >= 0.5) == np.array(y[2000:])) > 0.97
+
+
+def test_score_is_the_sum_over_all_pairs():
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(-0.4, np.arange(9, dtype=np.int32), rng.normal(0, 1, 9), rng.normal(0, 1, (9, 3)))
+    for n in (0, 1, 2, 9):
+        terms = rng.choice(9, n, replace=False)
+        z = model.bias + model.weights[terms].sum() + sum(model.vectors[a] @ model.vectors[b] for k, a in enumerate(terms) for b in terms[:k])
+        assert abs(model.score(np.zeros(n, int), terms, 1)[0] - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_an_id_of_many_rows_is_one_text(spark):
+    docs, labels = corpus(spark, 300)
+    again = docs.unionByName(spark.createDataFrame([(1, f"zz {k}", 0, "y") for k in range(500)], docs.schema))
+    assert len(toxicity.T.one_text(again, labels.withColumnRenamed("toxic", "label"), ["label"]).collect()) == 300
