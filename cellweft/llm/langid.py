@@ -7,12 +7,15 @@ compressed with each dictionary, and the language of the smallest total wins.
 A narrow margin between the two smallest is a rejection.
 
 Learning: texts and non-null lang of rows whose crc32(doc_id as text) mod 4 is
-not 2; per language at most ``per_language`` rows (of least hash), of each at
-most ``row_bytes``, in all at most ``dictionary_bytes``.
+not 2; per language at most ``per_language`` doc_ids (of least hash), the whole of
+one text (the least) of each.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0
 and rejected; with one learned language it is predicted with score 0; with none
-every text is ``und``; ties go to the language that sorts first.
+every text is ``und``; ties go to the language that sorts first; repeated rows
+get the same result; texts of any length are compressed whole; extra columns,
+such as score, are ignored by ``predict`` and kept by ``keep_identified``; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,18 +42,17 @@ MARGIN = 0.01
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def train(documents: DataFrame, per_language: int = 200, row_bytes: int = 1500, dictionary_bytes: int = 64 << 10) -> dict[str, bytes]:
+def train(documents: DataFrame, per_language: int = 48) -> dict[str, bytes]:
     """Dictionary content by language."""
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    able = docs.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
+    able = docs.where("lang is not null and doc_id is not null and text <> ''").where(~held_out(F.col("doc_id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    chosen = able.where("text is not null and text <> ''").select("doc_id", "lang", F.row_number().over(order).alias("place")).where(F.col("place") <= per_language)
-    rows = docs.select("doc_id", F.substring("text", 1, row_bytes).alias("text")).join(F.broadcast(chosen), "doc_id").select("lang", "place", "text").collect()
+    ids = able.select("doc_id", "lang").distinct().select("doc_id", "lang", F.row_number().over(order).alias("place")).where(F.col("place") <= per_language)
+    rows = able.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("lang", "place").agg(F.min("text").alias("text")).collect()
     by: dict[str, list[tuple[int, str]]] = {}
     for r in rows:
-        by.setdefault(r.lang, []).append((r.place, r.text or ""))
-    return {lang: b" ".join(normalise(t) for _, t in sorted(by[lang]))[:dictionary_bytes] for lang in sorted(by)}
+        by.setdefault(r.lang, []).append((r.place, r.text))
+    return {lang: b" ".join(normalise(t) for _, t in sorted(by[lang])) for lang in sorted(by)}
 
 
 def normalise(text: str) -> bytes:
