@@ -1,6 +1,6 @@
 """Quality rules: base counts and a hashed n-gram logistic regression.
 
-The model sees hashed word unigrams and bigrams and hashed byte 2- to 4-grams,
+The model sees hashed word unigrams and bigrams and hashed character 2- to 4-grams (of code points),
 each group divided by its size, so long and short texts weigh alike.  It is
 trained on a bounded sample of labelled rows (``max_rows``, by hash order),
 calibrated by Platt scaling on a fifth of them, and scores whole texts in Arrow
@@ -92,11 +92,18 @@ def _features(data: np.ndarray, offsets: np.ndarray, words: T.Spans, word_hash:
     begin, _ = T.window_rows(words, 2)
     pairs = T.shingles(word_hash, 2)
     yield (pairs[begin] >> shift).astype(np.int32) if len(begin) else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(np.maximum(words.count - 1, 0))])
+    # a character is its lead byte and what follows, so those of several bytes stay whole
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    char, length = data[lead].astype(np.uint32), np.diff(np.append(lead, len(data)))
+    for k in (1, 2, 3):
+        wide = np.flatnonzero(length > k)
+        char[wide] = char[wide] << np.uint32(8) | data[lead[wide] + k]
+    offsets = np.searchsorted(lead, offsets)
     for n in GRAMS:
-        size = max(0, len(data) - n + 1)
+        size = max(0, len(char) - n + 1)
         code = np.full(size, n, np.uint32)
         for k in range(n):
-            code = code * np.uint32(0x01000193) ^ data[k : k + size]
+            code = code * np.uint32(0x01000193) ^ char[k : k + size]
         code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
         per = np.maximum(np.diff(offsets) - n + 1, 0)
         row = np.concatenate([[0], np.cumsum(per)])
@@ -117,9 +124,8 @@ def _margins(data, offsets, words, word_hash, model: Model, bits: int) -> np.nda
 
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, bits: int = BITS, steps: int = 60) -> Model:
-    """Fit on at most ``max_rows`` labelled documents, those of least hash."""
-    spark = documents.sparkSession
-    chosen = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    """Fit on at most ``max_rows`` labelled documents, those of least hash, one text (the least) an id."""
+    chosen = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(max_rows)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +150,9 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, bits: i
                     names=["doc_id", "label", "buckets", "amounts"],
                 )
 
-    rows = (
-        documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "label", "text")
-        .mapInArrow(featurise, "doc_id bigint, label int, buckets binary, amounts binary")
-        .collect()
-    )
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.buckets)))
+    texts = T.one_text(documents, chosen, ["label"])
+    rows = texts.select("doc_id", "label", "text").mapInArrow(featurise, "doc_id bigint, label int, buckets binary, amounts binary").collect()
+    rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.label > 0 for r in rows], float)
     if len(rows) < 2 or y.min() == y.max():
         return Model(np.zeros(1 << bits, np.float32), bias=20.0)
