@@ -4,13 +4,16 @@ Every version of a text is a blob, named by its SHA-256.  The ledger is a
 Parquet table with one row for each blob and rule version scanned so far.  A
 scan hashes all rows, keeps one copy of each blob that the ledger lacks under
 the current rule version, runs the rules over these only, appends the findings
-and joins the ledger back to all rows (paths) that hold a blob.
+and joins the ledger back to all rows (paths) that hold a blob.  Scans at once may
+append a blob twice; its entries are alike and count as one when read.
 
 Rules: the three base kinds, then kinds the method adds; each finds leftmost
 non-overlapping spans, in code points, end exclusive.
 
 Defined cases: a null text is the empty blob; repeated rows share their blob's
-findings; an empty table gives an empty result; extra columns are ignored.
+findings; texts of any length are scanned whole; spans that begin together come
+as the kinds are listed; an empty table gives an empty result; extra columns, such
+as spans, are ignored.
 """
 
 from __future__ import annotations
@@ -88,7 +91,7 @@ def scan(documents: DataFrame, ledger: str | None = None, rules: str = RULES) ->
         unseen = unseen.join(known, "blob", "left_anti")
     unseen = unseen.groupBy("blob").agg(F.first("text").alias("text"))
     unseen.select("blob", "text").mapInArrow(_scan, f"blob string, spans {_SPANS}").withColumn("rules", F.lit(rules)).write.mode("append").parquet(ledger)
-    entries = spark.read.schema(f"blob string, spans {_SPANS}, rules string").parquet(ledger).where((F.col("rules") == rules) & (F.size("spans") > 0)).select("blob", "spans")
+    entries = spark.read.schema(f"blob string, spans {_SPANS}, rules string").parquet(ledger).where((F.col("rules") == rules) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
     found = paths.select("doc_id", "blob").join(entries, "blob", "left")
     return found.select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 

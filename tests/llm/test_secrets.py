@@ -56,3 +56,12 @@ def test_only_unseen_blobs_are_scanned(spark, tmp_path):
 
 def test_empty(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_a_blob_that_was_appended_twice_counts_once(spark, tmp_path):
+    ledger = f"{tmp_path}/ledger"
+    docs = spark.createDataFrame([(1, "token=aaaaaaaaaaaaaa"), (2, "plain")], "doc_id bigint, text string")
+    secrets.scan(docs, ledger)
+    entries = spark.read.parquet(ledger).collect()
+    spark.createDataFrame(entries, spark.read.parquet(ledger).schema).write.mode("append").parquet(ledger)
+    assert sorted((r.doc_id, len(r.spans)) for r in secrets.scan(docs, ledger).collect()) == [(1, 1), (2, 0)]
