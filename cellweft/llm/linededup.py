@@ -3,7 +3,7 @@
 Each line is parsed by a tree of fixed depth: its token count, its first
 ``DEPTH`` tokens, then ``BLOCKS`` levels, one for each block of its other tokens
 (of as equal lengths as can be).  A token with a digit is a variable at every
-level.  At a block's level a line goes down the branch of the block's tokens and
+level, but in lines that have no other token.  At a block's level a line goes down the branch of the block's tokens and
 the variable branch, the latter at ``VARIABLE`` blocks at most and as long as
 ``SIMILAR`` of all its positions are not in them.  A leaf is a template: lines
 that share it differ in its variable fields alone.  Of a line's leaves only the
@@ -48,7 +48,7 @@ VARIABLE = 2
 SIMILAR = 0.7
 MIN_DOCS = 3
 MIN_TOKENS = 1
-#: Tokens from which a line may be variables alone.
+#: Tokens from which a line may have no token but those with digits.
 MIN_VARIABLES = 3
 #: Recurring lines, or leading levels of the tree, that are sent to every task (16 bytes each); beyond it they are joined.
 BROADCAST_LINES = 2_000_000
@@ -65,12 +65,13 @@ class Parsed:
         words = T.runs(data, offsets, T.SPACED)
         h = T.hashes(T.prefix_sums(data), words.starts, words.ends)
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-        h[digits[words.ends] > digits[words.starts]] = _WILD
+        variable = digits[words.ends] > digits[words.starts]
         first = np.searchsorted(words.starts, self.lines.starts)
         last = np.searchsorted(words.starts, self.lines.ends)
-        constant = np.concatenate([[0], np.cumsum(h != _WILD)])
-        n = last - first
-        self.at = np.flatnonzero((n >= MIN_TOKENS) & ((n >= MIN_VARIABLES) | (constant[last] > constant[first])))
+        constant = np.concatenate([[0], np.cumsum(~variable)])
+        n, some = last - first, constant[last] > constant[first]
+        h[variable & np.repeat(some, n)] = _WILD
+        self.at = np.flatnonzero((n >= MIN_TOKENS) & ((n >= MIN_VARIABLES) | some))
         self.first, self.last = first[self.at], last[self.at]
         n = self.last - self.first
         up, self.down = T._powers.get(len(h) + 1)
@@ -199,7 +200,9 @@ def dedup(documents: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMIL
     spark = documents.sparkSession
     lines = recurring(documents, min_docs, similar, broadcast_lines)
     names = documents.columns
-    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # the row without its text, which would travel twice
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in names if c != "text")).alias("row")
+    whole = documents.select(rest, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if lines.count() <= broadcast_lines:
         table = lines.select("line", "first_doc").toArrow()
         line, first = (table.column(c).to_numpy() for c in ("line", "first_doc"))
@@ -216,8 +219,9 @@ def dedup(documents: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMIL
         parts = F.split("text", "\n", -1)
         left = F.array_join(F.filter(parts, lambda x, k: ~F.array_contains("dropped", k)), "\n")
         got = got.select("row", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text"), F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
-        got = got.withColumn("n_lines", F.when(F.col("row.text").isNull(), 0).otherwise(F.col("n_lines")))
-    return got.withColumn("row", F.col("row").withField("text", F.col("text"))).select("row", "n_lines", "dropped")
+        got = got.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")))
+    row = F.struct(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in names))
+    return got.select(row.alias("row"), "n_lines", "dropped")
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
