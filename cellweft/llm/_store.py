@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from ..recovery import keep, scratch, shared_dir
 
-__all__ = ["BROADCAST_KEYS", "bounded", "keep", "scratch", "shared_dir", "without"]
+__all__ = ["BROADCAST_KEYS", "bounded", "keep", "once", "scratch", "shared_dir", "text_keys", "without"]
 
 #: Rows of two bigints that are sent to every executor (about 64 MB as a hash table); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
 
+def text_keys() -> list[Column]:
+    """Two hashes that name a text; never null, and alike for all null texts."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("key1"), F.xxhash64(F.lit(17), text).alias("key2")]
+
+
 def bounded(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     """A stored table of a few bigint columns: to be broadcast if its count allows, else joined by a shuffle."""
     return F.broadcast(keys) if keys.count() <= most else keys.hint("merge")
@@ -23,3 +29,11 @@ def without(rows: DataFrame, names: list[Column], keys: DataFrame, how: str = "l
     row = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.struct(*names).alias("own"))
     other = bounded(keys.select(F.struct(*(F.col(c) for c in keys.columns)).alias("other")))
     return row.join(other, F.col("own") == F.col("other"), how).select("row.*")
+
+
+def once(rows: DataFrame, names: list[Column], keys: DataFrame) -> DataFrame:
+    """The rows, all columns as they are, but one alone (of least hash) of those whose ``names`` are alike and in the stored table ``keys``."""
+    again = without(rows, names, keys, "left_semi")
+    row = again.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.struct(*names).alias("own"))
+    one = row.groupBy("own").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return without(rows, names, keys).unionByName(one)

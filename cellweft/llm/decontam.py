@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import keep, without
+from ._store import keep, text_keys, without
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -337,16 +337,10 @@ _LONGEST = "array<struct<item:string,item_word:int,word:int,words:int>>"
 _HITS = f"key1 bigint, key2 bigint, spans array<struct<first:int,last:int>>, items array<string>, longest {_LONGEST}"
 
 
-def _keys() -> list[Column]:
-    """Two hashes that name a text; never null."""
-    text = F.col("text").cast("string")
-    return [F.xxhash64(text).alias("key1"), F.xxhash64(F.lit(17), text).alias("key2")]
-
-
 def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, detail: bool = True) -> DataFrame:
     """A row for each hit text (and block): its keys, hit spans, items and longest matches (empty without ``detail``)."""
     spark = documents.sparkSession
-    texts = documents.select(*_keys(), F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = documents.select(*text_keys(), F.col("text").cast("string").alias("text")).where("text is not null")
     lists = [pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.list_(pa.string()), pa.list_(pa.struct([("item", pa.string()), ("item_word", pa.int32()), ("word", pa.int32()), ("words", pa.int32())]))]
 
     def finder(shared):
@@ -394,7 +388,7 @@ def search(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     n_hit = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).alias("last"), F.lit(0).alias("n")), add)["n"]
     merged = merged.select("key1", "key2", n_hit.cast("bigint").alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "longest")
     n_words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("bigint")
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), n_words.alias("n_words"), *_keys())
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), n_words.alias("n_words"), *text_keys())
     none = (F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("items", "array<string>"), ("longest", _LONGEST)))
     return rows.join(merged, ["key1", "key2"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), *none, (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
@@ -402,4 +396,4 @@ def search(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all columns as they are, without those that are hit."""
     found = hits(documents, benchmark, window, block_bytes, detail=False).select("key1", "key2").distinct()
-    return without(documents, _keys(), keep(found, "hit-texts"))
+    return without(documents, text_keys(), keep(found, "hit-texts"))

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._store import keep as stored
+from ._store import text_keys, without
 from .toxicity import held_out
 
 UNKNOWN = "und"
@@ -122,15 +124,12 @@ def _predictor(shared, margin: float, keep: list[str]):
 
 
 def keep_identified(documents: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """The documents, all columns as they are, whose language is not rejected."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(dictionaries)
-    names = documents.columns
-    numbered = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for got in _predictor(shared, margin, ["row"])(iter([batch])):
-                yield pa.RecordBatch.from_arrays([got.column("row").filter(pc.invert(got.column("rejected")))], names=["row"])
-
-    return numbered.mapInArrow(run, numbered.select("row").schema).select("row.*")
+    """The documents, all columns as they are, whose language is not rejected.
+
+    A prediction follows from the text alone, so rejected texts are found by their
+    keys, and documents do not travel to Python and back.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(dictionaries)
+    texts = documents.select(*text_keys(), F.col("text").cast("string").alias("text"))
+    found = texts.mapInArrow(_predictor(shared, margin, ["key1", "key2"]), "key1 bigint, key2 bigint, lang_pred string, score double, rejected boolean")
+    return without(documents, text_keys(), stored(found.where("rejected").select("key1", "key2").distinct(), "rejected"))

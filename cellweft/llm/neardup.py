@@ -1,11 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash links, and beyond their reach MinHash.
 
 Two texts link at ``SIMILAR`` or more of the union of their sets of
-``WIDTH``-word shingles.  Candidates come from MinHash: ``BANDS`` bands of
-``ROWS`` minima each, and texts that agree in a band share its bucket, so a pair
-of similarity 0.8 is missed by all bands with probability 7e-5 and a closer one
-more rarely.  SimHash at 64 bits does not suit: by estimate such pairs differ in ten
-bits on average and some in fifteen, where blocks no longer tell texts apart.
+``WIDTH``-word shingles.  Candidates come from two places.  The SimHash join
+(``simhash.links``, the trie self-join over fingerprints of the same shingles) gives
+texts within its error budget.  At 64 bits a pair of similarity 0.8 differs in ten
+bits on average and some in sixteen, where no blocks of bits tell texts apart and
+nearly all node pairs stay within the budget; so for those MinHash gives more:
+``BANDS`` bands of ``ROWS`` minima each, and texts that agree in a band share its
+bucket.  A pair of similarity 0.8 is missed by all bands with probability 7e-5 and
+a closer one more rarely.
 
 Every candidate pair is held against the shingle sets themselves before it
 links, unless its texts are one component already.  First each bucket's texts
@@ -31,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import keep
+from . import simhash
+from ._store import bounded, keep
 from .simhash import _union, components
 
 WIDTH = 5
@@ -85,7 +89,7 @@ def _buckets(shingles: np.ndarray, row: np.ndarray, bands: int, per: int) -> np.
 
 
 def sketches(documents: DataFrame, width: int = WIDTH, bands: int = BANDS, per: int = ROWS) -> DataFrame:
-    """doc_id, text_key and buckets of each row."""
+    """doc_id, text_key, fp (SimHash fingerprint) and buckets of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,10 +102,10 @@ def sketches(documents: DataFrame, width: int = WIDTH, bands: int = BANDS, per:
                 size = np.where(some, bands, 1)
                 flat = found[np.arange(bands)[None, :] < size[:, None]].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), lists], names=["doc_id", "text_key", "buckets"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), pa.array(simhash.majority(shingles, row).view(np.int64)), lists], names=["doc_id", "text_key", "fp", "buckets"])
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, buckets array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, fp bigint, buckets array<bigint>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -125,7 +129,8 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 def _texts(documents: DataFrame, keys: DataFrame) -> DataFrame:
     """text_key and text, once, of the keys in the one column of ``keys``."""
     texts = documents.select(text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    return texts.join(keys.toDF("key").distinct(), F.col("text_key") == F.col("key"), "left_semi").dropDuplicates(["text_key"])
+    wanted = bounded(keep(keys.toDF("key").distinct(), "wanted"))
+    return texts.join(wanted, F.col("text_key") == F.col("key"), "left_semi").dropDuplicates(["text_key"])
 
 
 def _linked(documents: DataFrame, pairs: DataFrame, width: int, similar: int) -> DataFrame:
@@ -144,13 +149,18 @@ def _pair(a: str, b: str) -> list[Column]:
 def links(documents: DataFrame, distinct: DataFrame, width: int = WIDTH, similar: int = SIMILAR, large: int = LARGE) -> DataFrame:
     """Links (a, b) of text keys, enough to connect all candidates that are similar.
 
-    ``distinct`` is a stored table with one row a text: text_key, buckets.
+    ``distinct`` is a stored table with one row a text: text_key, fp, buckets.
     """
+    # within the trie's budget: of each fingerprint its texts with the least, and these along the join's stars
+    own = keep(distinct.groupBy("fp").agg(F.min("text_key").alias("first")), "fingerprints")
+    alike = distinct.join(own, "fp").where("text_key <> first").select(*_pair("text_key", "first"))
+    one, two = (own.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    near = simhash.links(own.select("fp")).join(one, "a").join(two, "b").select(*_pair("first_a", "first_b"))
     dealt = distinct.select("text_key", F.explode("buckets").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo < hi")
     members = keep(dealt.join(keep(shared, "shared"), "bucket"), "members")
     ends = members.where("text_key <> lo").select(*_pair("text_key", "lo")).union(members.where("text_key <> hi").select(*_pair("text_key", "hi")))
-    found = keep(_linked(documents, keep(ends.distinct(), "ends"), width, similar), "links")
+    found = keep(_linked(documents, keep(ends.union(alike).union(near).distinct(), "ends"), width, similar), "links")
     roots = keep(components(found), "parts")
     rooted = members.join(roots, F.col("text_key") == F.col("node"), "left").select("bucket", "text_key", F.coalesce("root", "text_key").alias("root"))
     mixed = keep(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", F.ceil(F.col("n") / large).cast("int").alias("chunks")), "mixed")
@@ -240,7 +250,7 @@ def stars(shingles: np.ndarray, row: np.ndarray, root: np.ndarray, similar: int)
 def near_duplicates(documents: DataFrame, width: int = WIDTH, similar: int = SIMILAR, bands: int = BANDS, per: int = ROWS, large: int = LARGE) -> DataFrame:
     """doc_id, text_key, component_id (least doc_id of the component) and keeper (the text key that it has there) of each row."""
     rows = keep(sketches(documents, width, bands, per), "sketches")
-    distinct = keep(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("buckets").alias("buckets")), "distinct")
+    distinct = keep(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets")), "distinct")
     roots = keep(components(links(documents, distinct, width, similar, large)), "roots")
     labelled = distinct.join(roots, F.col("text_key") == F.col("node"), "left").select("text_key", "least", F.coalesce("root", "text_key").alias("root"))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "text_key"))

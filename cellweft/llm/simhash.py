@@ -78,12 +78,17 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarr
     last = np.minimum(first + width, np.repeat(words.row[1:], per))
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(view[a:b], SEED) for a, b in zip(at[first].tolist(), (at[last] - 1).tolist(), strict=True)), np.uint64, len(first))
-    # bit counts of each row, byte by byte: one table of 256 counts a row and byte
+    return majority(h, row)
+
+
+def majority(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Of each row's hashes the bits that over half of them have; zero without a hash."""
+    # bit counts byte by byte: one table of 256 counts a row and byte
+    per = np.diff(row)
     out = np.zeros(len(per), np.uint64)
-    rows = np.repeat(np.arange(len(per)), per)
     octets = h.astype(">u8").view(np.uint8).reshape(-1, 8)
-    for k in range(8):
-        ones = np.add.reduceat(_BYTES[octets[:, k]], row[:-1][per > 0], axis=0, dtype=np.int32) if len(rows) else np.zeros((0, 8), np.int32)
+    for k in range(8 if len(h) else 0):
+        ones = np.add.reduceat(_BYTES[octets[:, k]], row[:-1][per > 0], axis=0, dtype=np.int32)
         bits = np.packbits(2 * ones > per[per > 0][:, None], axis=1)[:, 0]
         out[per > 0] |= bits.astype(np.uint64) << np.uint64(56 - 8 * k)
     return out
