@@ -2,16 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..recovery import keep, scratch, shared_dir
+from .. import recovery
+from ..recovery import scratch, shared_dir
 
 __all__ = ["BROADCAST_KEYS", "bounded", "keep", "once", "scratch", "shared_dir", "text_keys", "without"]
 
 #: Rows of two bigints that are sent to every executor (about 64 MB as a hash table); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
+#: Upper bound of one Arrow batch of texts while a table is written.
+BATCH_BYTES = 16 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound the batches that go to Python meanwhile, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key, "0") == "0"
+    if own:
+        spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.unset(key)
+
+
+def keep(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """``recovery.keep`` with small batches."""
+    with small_batches(df.sparkSession):
+        return recovery.keep(df, name, schema)
+
 
 def text_keys() -> list[Column]:
     """Two hashes that name a text; never null, and alike for all null texts."""

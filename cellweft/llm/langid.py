@@ -48,8 +48,11 @@ def train(documents: DataFrame, per_language: int = 48) -> dict[str, bytes]:
     """Dictionary content by language."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     able = docs.where("lang is not null and doc_id is not null and text <> ''").where(~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    ids = able.select("doc_id", "lang").distinct().select("doc_id", "lang", F.row_number().over(order).alias("place")).where(F.col("place") <= per_language)
+    # the least of each of many parts first, so no task ranks a language
+    order = [F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")]
+    part = able.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(64)).alias("part"))
+    part = part.withColumn("place", F.dense_rank().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("place") <= per_language)
+    ids = part.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= per_language)
     rows = able.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("lang", "place").agg(F.min("text").alias("text")).collect()
     by: dict[str, list[tuple[int, str]]] = {}
     for r in rows:
@@ -90,7 +93,8 @@ def predict(documents: DataFrame, dictionaries: dict[str, bytes], margin: float
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(dictionaries)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_predictor(shared, margin, ["doc_id", "held_out"]), "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
+    got = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_predictor(shared, margin, ["doc_id", "held_out"]), "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
+    return stored(got, "languages")
 
 
 def _predictor(shared, margin: float, keep: list[str]):

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._store import keep
 
 COVERAGE = 0.8
 #: Notices and texts of common licenses, as their publishers word them.
@@ -157,4 +158,4 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, coverage
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(spans.count.astype(np.int64)), pa.array(out, kind)], names=["doc_id", "n_words", "licenses"])
 
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, licenses array<struct<license:string,coverage:double,first:int,end:int>>")
+    return keep(docs.mapInArrow(run, "doc_id bigint, n_words bigint, licenses array<struct<license:string,coverage:double,first:int,end:int>>"), "licenses")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._store import keep
 
 BITS = 16
 GRAMS = (2, 3, 4)
@@ -214,4 +215,4 @@ def score(documents: DataFrame, model: Model, keep_from: float = KEEP_FROM, bits
                     names=[c.split()[0] for c in SCHEMA.split(", ")],
                 )
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return keep(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA), "verdicts")

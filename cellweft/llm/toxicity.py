@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._store import keep
 
 TOXIC_FROM = 0.3
 BITS = 22
@@ -157,4 +158,4 @@ def score(documents: DataFrame, model: Model, toxic_from: float = TOXIC_FROM) ->
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), pa.array(p), pa.array((p >= toxic_from).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return keep(rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int"), "scores")
