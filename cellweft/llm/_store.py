@@ -25,7 +25,7 @@ BATCH_BYTES = 16 << 20
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Bound the batches that go to Python meanwhile, unless the session has a bound of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    own = spark.conf.get(key, "0") == "0"
+    own = spark.conf.get(key, "1") == "1"
     if own:
         spark.conf.set(key, str(BATCH_BYTES))
     try:
