@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that one kernel call handles, unless one text alone is longer.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _byte = np.arange(256)
 #: Words of [^\x20\x09-\x0D]+ .

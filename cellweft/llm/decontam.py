@@ -41,14 +41,14 @@ from . import _text as T
 from ._store import keep, text_keys, without
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
-#: Rounds of three words by which equal suffixes are refined before all ranks are doubled.
-ROUNDS = 12
+#: Rounds of refinement of all words that one doubling of their ranks costs, about.
+DOUBLING = 8
 #: Item classes of windows that are laid side by side at once.
 LISTED = 1 << 20
-#: The words of a text, A-Z counting as a-z.
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The words of a text, A-Z counting as a-z (said by what is in them, as Java is slow at finding what is not).
+WORDS = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 
 
 def _ranks(words: np.ndarray, width: int) -> np.ndarray:
@@ -133,11 +133,11 @@ class Block:
         return cls(vocabulary, words, item, [sorted(n) for n in names], starts, widths, np.searchsorted(code, np.arange(base + 1)), classes, pairs, np.unique(words[starts[~two]]))
 
 
-def suffix_array(words: np.ndarray, starts: np.ndarray, base: int, longest: int, rounds: int = ROUNDS) -> np.ndarray:
+def suffix_array(words: np.ndarray, starts: np.ndarray, base: int, longest: int, doubling: float = DOUBLING) -> np.ndarray:
     """``starts`` in the order of the suffixes there, as far as ``longest`` words (at least).
 
-    Groups of equal suffixes so far are refined by their next three words; what
-    is equal after ``rounds`` of that is ordered by ranks of doubled length.
+    Groups of equal suffixes so far are refined by their next three words; where
+    so many are equal that this would cost more, by ranks of doubled length.
     """
     padded = np.concatenate([words, np.zeros(longest + 4, np.int64)])
     step = 3 if base**3 < 1 << 62 else 1
@@ -152,12 +152,12 @@ def suffix_array(words: np.ndarray, starts: np.ndarray, base: int, longest: int,
     order = np.argsort(first, kind="stable")
     sa, first = starts[order], first[order]
     group = np.cumsum(np.concatenate([[0], np.diff(first) != 0])) if len(sa) else np.zeros(0, np.int64)
-    depth, done = step, 1
+    depth = step
     while depth < longest and len(sa):
         tied = np.flatnonzero(np.bincount(group)[group] > 1)
         if not len(tied):
             break
-        deep = done >= rounds
+        deep = len(tied) * (longest - depth) / step > doubling * len(words)
         k = _ranks(padded, longest)[sa[tied]] if deep else key(sa[tied], depth)
         o = np.lexsort((k, group[tied]))
         sa[tied], k = sa[tied[o]], k[o]
@@ -167,7 +167,7 @@ def suffix_array(words: np.ndarray, starts: np.ndarray, base: int, longest: int,
         new[1:] = group[1:] != group[:-1]
         new[tied[1:][(k[1:] != k[:-1]) & (group[tied[1:]] == group[tied[:-1]])]] = True
         group = np.cumsum(new)
-        depth, done = depth + step, done + 1
+        depth += step
     return sa
 
 

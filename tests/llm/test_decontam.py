@@ -92,8 +92,8 @@ def test_deep_repeats_are_ordered_by_doubled_ranks():
     rng = np.random.default_rng(3)
     text = np.concatenate([np.tile(rng.integers(1, 4, 40), 20), rng.integers(1, 3, 300), np.tile([1], 200), [0]]).astype(np.int64)
     starts = np.arange(len(text) - 1)
-    for longest in (7, 200, 900):
-        sa = decontam.suffix_array(text, starts, 6, longest, rounds=2)
+    for longest, doubling in ((7, 8), (200, 0), (200, 1e9), (900, 8)):
+        sa = decontam.suffix_array(text, starts, 6, longest, doubling)
         padded = np.concatenate([text, np.zeros(longest, np.int64)])
         keys = [tuple(padded[s : s + longest]) for s in sa]
         assert keys == sorted(keys) and sorted(sa) == starts.tolist()
