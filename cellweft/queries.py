@@ -207,13 +207,13 @@ def region_bin_list(s, d):
     return counting.bin_lists(counting.bins_of_regions(_peaks(s, d), _regions(s, d)), 3)
 
 
-@query(f"""with {PEAKS}, {REGIONS}, few as (select * from region order by region limit 5), ov as (select region, name from peak join few on peak.chrom = few.chrom and peak.s < few.e and peak.e > few.s),
+@query(f"""with {PEAKS}, {REGIONS}, ov as (select region, name from peak join region on peak.chrom = region.chrom and peak.s < region.e and peak.e > region.s),
 ent as (select l_orderkey as cell, 'peak_' || l_partkey as feature, sum(l_quantity) as value from lineitem group by all), lib as (select cell, sum(value) as library from ent group by all),
 nb as (select region, count(*) as n from ov group by all), tot as (select cell, region, sum(value) as t from ent join ov on feature = name group by all)
-select lib.cell, few.region, round(case when coalesce(n, 0) > 0 then ln(1 + coalesce(t, 0) / n * 1e4 / case when library > 0 then library else 1 end) end, 6) as score, library
-from lib cross join few left join nb using (region) left join tot on tot.cell = lib.cell and tot.region = few.region""")
+select lib.cell, region.region, round(case when coalesce(n, 0) > 0 then ln(1 + coalesce(t, 0) / n * 1e4 / case when library > 0 then library else 1 end) end, 6) as score, library
+from lib cross join region left join nb using (region) left join tot on tot.cell = lib.cell and tot.region = region.region""")
 def region_scores(s, d):
-    regions = _regions(s, d).orderBy("region").limit(5)
+    regions = _regions(s, d)
     entries = _entries(s, d).withColumn("feature", F.concat(F.lit("peak_"), F.col("feature")))
     got = counting.region_scores(entries, counting.bins_of_regions(_peaks(s, d), regions), regions, entries.select("cell").distinct())
     return got.select("cell", "region", F.round("score", 6).alias("score"), "library")
@@ -627,7 +627,7 @@ def fci_graph(s, d):
 
 @query()
 def dagma_graph(s, d):
-    return runner.run(_features(s, d), runner.Spec(method="dagma", background="minimal_expr_sink", threshold=0.1, stages=3, warm=300, last=600))[0]
+    return runner.run(_features(s, d), runner.Spec(method="dagma", background="minimal_expr_sink", threshold=0.1))[0]
 
 
 @query()
@@ -663,18 +663,23 @@ def variable_by_dispersion(s, d):
     return embedding.variable_by_dispersion(embedding.feature_moments(e, e.select("cell").distinct().count()), 50).withColumn("score", F.round("score", 6))
 
 
+def _length(emb: str):
+    """Length of an embedding, which no turn of its axes changes."""
+    return F.round(F.sqrt(F.aggregate(emb, F.lit(0.0), lambda t, v: t + v * v)), 4).alias("length")
+
+
 @query()
 def lsi_embedding(s, d):
-    e = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), (F.col("l_partkey") % 64).alias("feature")).agg(F.sum("l_quantity").alias("value"))
+    e = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), F.col("l_partkey").alias("feature")).agg(F.sum("l_quantity").alias("value"))
     f = guidance.indexed(e.select("feature").distinct(), ["feature"])
-    return embedding.lsi(e, e.select("cell").distinct().count(), f, 8).select("cell", F.size("emb").alias("dims"))
+    return embedding.lsi(e, e.select("cell").distinct().count(), f, 8).select("cell", F.size("emb").alias("dims"), _length("emb"))
 
 
 @query()
 def pca_embedding(s, d):
-    e = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), (F.col("l_partkey") % 64).alias("feature")).agg(F.sum("l_quantity").alias("value"))
+    e = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), F.col("l_partkey").alias("feature")).agg(F.sum("l_quantity").alias("value"))
     f = guidance.indexed(e.select("feature").distinct(), ["feature"])
-    return embedding.pca(e, f, 8).select("cell", F.size("emb").alias("dims"))
+    return embedding.pca(e, f, 8).select("cell", F.size("emb").alias("dims"), _length("emb"))
 
 
 # Scalars.
@@ -784,10 +789,10 @@ def centre_and_scale(s, d):
 @query()
 def latent_space(s, d):
     half = F.when(F.col("id") % 2 == 0, "rna").otherwise("chrom_A")
-    x = F.slice("emb", 1, 16)
+    x = F.col("emb")
     cells = _points(s, d).select(F.col("id").alias("cell"), half.alias("modality_key"), x.alias("x"), F.transform(x, lambda v: F.lit(1.0)).alias("available"))
-    model, _ = latent.fit(cells, 16, latent=4, hidden=16, epochs=10)
-    return latent.encode(cells, model).select("cell", "modality_key", F.size("emb").alias("dims"))
+    model, _ = latent.fit(cells, cells.select(F.max(F.size("x"))).first()[0] or 0, latent=4, hidden=16, epochs=10)
+    return latent.encode(cells, model).select("cell", "modality_key", F.size("emb").alias("dims"), _length("emb"))
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:

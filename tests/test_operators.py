@@ -338,7 +338,7 @@ def test_dagma_recovers_a_chain():
     rng = np.random.default_rng(0)
     a = rng.normal(size=400)
     b = 1.5 * a + rng.normal(size=400)
-    w = dagma.Dagma(["gaussian"] * 2, stages=3, warm=2000, last=3000, rate=3e-3, threshold=0.2).fit(np.stack([a, b], 1), {(1, 0)})
+    w = dagma.Dagma(["gaussian"] * 2, stages=3, warm=2000, last=3000, threshold=0.2).fit(np.stack([a, b], 1), {(1, 0)})
     assert w[0, 1] > 0.8 and w[1, 0] == 0
     h, g = dagma.acyclicity(np.array([[0.0, 0.5], [0.0, 0.0]]), 1.0)
     assert h == pytest.approx(0) and g[1, 0] == 0
@@ -350,15 +350,59 @@ def test_dagma_recovers_a_chain():
 
 def test_score_gradient_is_right():
     rng = np.random.default_rng(1)
-    x = np.stack([rng.normal(size=60), rng.integers(0, 2, 60), rng.poisson(3, 60)], 1)
+    x = np.stack([rng.normal(size=60), rng.integers(0, 2, 60), rng.poisson(3, 60)], 1).astype(float)
     m = dagma.Dagma(["gaussian", "bernoulli", "nb2"], stages=1, last=1)
     m.fit(x)
-    w = rng.normal(0, 0.2, (3, 3))
-    _, grad = m.score(w)
+    f, w, b = m.smooth(x, np.zeros_like(x)), rng.normal(0, 0.2, (3, 3)), rng.normal(0, 0.2, 3)
+    _, gw, gb = f(w, b)
     for i, j in itertools.product(range(3), range(3)):
         e = np.zeros((3, 3))
         e[i, j] = 1e-5
-        assert grad[i, j] == pytest.approx((m.score(w + e)[0] - m.score(w - e)[0]) / 2e-5, abs=1e-4)
+        assert gw[i, j] == pytest.approx((f(w + e, b)[0] - f(w - e, b)[0]) / 2e-5, abs=1e-5)
+        assert gb[j] == pytest.approx((f(w, b + e[i])[0] - f(w, b - e[i])[0]) / 2e-5, abs=1e-5) or not e[i].any()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_planted_graphs_are_found_with_the_weights_of_their_regressions(seed):
+    rng = np.random.default_rng(seed)
+    d, n = 6, 4000
+    true = np.triu(rng.random((d, d)) < 0.4, 1) * rng.uniform(0.7, 1.5, (d, d)) * rng.choice([-1, 1], (d, d))
+    x = np.zeros((n, d))
+    for j in range(d):
+        x[:, j] = x @ true[:, j] + rng.normal(size=n)
+    order = {(j, i) for i in range(d) for j in range(i + 1, d)}
+    for exclude in (set(), order):
+        m = dagma.Dagma(["gaussian"] * d, lambda1=0.02)
+        w = m.fit(x, exclude)
+        assert ((w != 0) == (true != 0)).all() and all(m.converged)
+        for j in range(d):
+            of = np.flatnonzero(true[:, j])
+            best = np.linalg.lstsq(x[:, of] - x[:, of].mean(0), x[:, j] - x[:, j].mean(), rcond=None)[0]
+            assert np.abs(w[of, j] - best).max(initial=0) < 0.15  # the threshold on |W| pulls them in
+
+
+def test_a_stage_without_other_edges_is_the_lasso():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 3))
+    x[:, 2] += 0.8 * x[:, 0] - 0.05 * x[:, 1]
+    m = dagma.Dagma(["gaussian"] * 3, lambda1=0.1, threshold=0.0, stages=1, tolerance=1e-8)
+    only = {(i, j) for i in range(3) for j in range(3) if j != 2}
+    w = m.fit(x, only)[:, 2]
+    m.offsets = np.zeros_like(x)
+    assert np.allclose(m.fit(x, only)[:, 2], w, atol=1e-5)  # by rows and by moments
+    centred = x - x.mean(0)
+    slope = centred.T @ (centred[:, 2] - centred @ w) / len(x)
+    assert slope[0] == pytest.approx(0.1 * np.sign(w[0]), abs=1e-5) and w[1] == 0 and abs(slope[1]) <= 0.1
+
+
+def test_mixed_families_find_the_count_child():
+    rng = np.random.default_rng(5)
+    a, c = rng.normal(size=1500), rng.integers(0, 2, 1500)
+    y = rng.negative_binomial(5, 5 / (5 + np.exp(1 + 0.8 * a - 0.9 * c)))
+    m = dagma.Dagma(["nb2", "gaussian", "bernoulli"], lambda1=0.002, threshold=0.2)
+    w = m.fit(np.stack([y, a, c], 1).astype(float), {(0, 1), (0, 2), (1, 2), (2, 1)})
+    assert w[1, 0] == pytest.approx(0.8, abs=0.12) and w[2, 0] == pytest.approx(-0.9, abs=0.2) and (w != 0).sum() == 2
+    assert m.intercepts[0] == pytest.approx(1, abs=0.15)
 
 
 def long_matrix(spark, x, names):
