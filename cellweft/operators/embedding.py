@@ -33,7 +33,7 @@ def variable_by_dispersion(moments: DataFrame, k: int, bins: int = 20) -> DataFr
     scored by distance from the bin's median in median absolute deviations.
     """
     base = moments.where("mean > 0").withColumn("dispersion", F.col("variance") / F.col("mean"))
-    cuts = base.approxQuantile("mean", [i / bins for i in range(1, bins)], 0.001)
+    cuts = base.agg(F.percentile("mean", F.array(*(F.lit(i / bins) for i in range(1, bins))))).first()[0] or []
     binned = base.withColumn("bin", sum((F.when(F.col("mean") > c, 1).otherwise(0) for c in cuts), F.lit(0)))
     mid = binned.groupBy("bin").agg(F.median("dispersion").alias("_mid"))
     off = binned.join(F.broadcast(mid), "bin").withColumn("_off", F.abs(F.col("dispersion") - F.col("_mid")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import uuid
 
@@ -18,11 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the one named in ``spark.checkpoint.dir`` (or set on the context);
-    only where neither is set, as in tests, a local default is set.
+    only where neither is set and the master is local, as in tests, a local default is set.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master or ""):
+            raise ValueError("executors share no folder: name one in spark.checkpoint.dir")
         where = _DEFAULT_DIR
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweft.operators import clusters, joins, latent, layout
+from cellweft import recovery
+from cellweft.operators import clusters, embedding, joins, latent, layout, matrix
 from cellweft.schema import SchemaError
 from cellweft.sources import discovery, hdf5
 
@@ -98,3 +99,33 @@ def test_saved_graph_and_hdf5_gate(spark, tmp_path):
     if hdf5.h5py is None:
         with pytest.raises(ImportError, match="h5py"):
             hdf5.read_10x(spark, "x.h5")
+
+
+def test_lengths_of_embeddings_are_those_of_a_plain_decomposition(spark):
+    rng = np.random.default_rng(3)
+    x = rng.poisson(2, (12, 7)).astype(float)
+    e = spark.createDataFrame([(i, j, v) for i, r in enumerate(x.tolist()) for j, v in enumerate(r) if v], "cell int, feature int, value double")
+    f = spark.createDataFrame([(j, j) for j in range(7)], "feature int, idx int")
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    _, _, right = np.linalg.svd(z, full_matrices=False)
+    got = {r.cell: np.linalg.norm(r.emb) for r in embedding.pca(e, f, 3).collect()}
+    assert np.allclose([got[i] for i in range(12)], np.linalg.norm(z @ right[:3].T, axis=1))
+    weighed = {(r.cell, r.feature): r.value for r in matrix.tf_idf(e, 12).collect()}
+    t = np.array([[weighed.get((i, j), 0.0) for j in range(7)] for i in range(12)])
+    _, _, right = np.linalg.svd(t, full_matrices=False)
+    got = {r.cell: np.linalg.norm(r.emb) for r in embedding.lsi(e, 12, f, 3).collect()}
+    assert np.allclose([got[i] for i in range(12)], np.linalg.norm(t @ right[:3].T, axis=1))
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        recovery.shared_dir(Session())
