@@ -18,7 +18,7 @@ __all__ = ["BROADCAST_KEYS", "bounded", "keep", "once", "scratch", "shared_dir",
 BROADCAST_KEYS = 1_000_000
 
 #: Upper bound of one Arrow batch of texts while a table is written.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 @contextmanager
