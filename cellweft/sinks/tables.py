@@ -45,8 +45,8 @@ def write_tsv(df: DataFrame, path: str | Path, order: list[str | Column] | None
 
 
 def write_tsv_folder(df: DataFrame, path: str, compression: str | None = None, header: bool = True) -> None:
-    """A folder of TSV parts, written by the executors."""
-    writer = df.write.option("sep", "\t").option("header", header).option("quote", "")
+    """A folder of TSV parts, written by the executors; blanks stay and empty text is an empty field, as in ``write_tsv``."""
+    writer = df.write.options(sep="\t", header=header, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     (writer.option("compression", compression) if compression else writer).csv(path)
 
 

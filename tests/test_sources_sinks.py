@@ -195,3 +195,11 @@ def test_toy_experiment(spark):
     assert {r[0]: r[1] for r in counts} == {170: 40, 180: 2, 50: 2}
     assert toy.cells(spark).select("barcode").distinct().count() == 44
     assert toy.counts(spark, ["HTO_A", "HTO_B"], "hto").count() == 88
+
+
+def test_folder_keeps_blanks_and_empty_text(spark, tmp_path):
+    df = spark.createDataFrame([("  ", "a "), ("", "b"), (None, " c")], "x string, y string")
+    tables.write_tsv_folder(df.coalesce(1), f"{tmp_path}/folder")
+    tables.write_tsv(df, tmp_path / "file.tsv")
+    parts = [p.read_text() for p in (tmp_path / "folder").glob("part-*")]
+    assert parts == [(tmp_path / "file.tsv").read_text()] == ["x\ty\n  \ta \n\tb\n\t c\n"]
