@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from .places import weighed
 
 
 def column_stats(long: DataFrame, key: str = "variable", value: str = "value") -> DataFrame:
@@ -80,9 +81,15 @@ def zscore(df: DataFrame, key: str, value: str, out: str = "z") -> DataFrame:
 
 
 def average_rank(df: DataFrame, key: str, value: str, out: str = "rank") -> DataFrame:
-    """Rank within key, ties sharing their mean rank."""
-    order, same = Window.partitionBy(key).orderBy(value), Window.partitionBy(key, value)
-    return df.withColumn(out, F.rank().over(order) + (F.count("*").over(same) - 1) / 2)
+    """Rank within key, ties sharing their mean rank; nulls come first and NaNs last.
+
+    Ranks follow from the counts of distinct values, summed over range partitions, so no task sorts a key.
+    """
+    counts = df.groupBy(F.col(key).alias("_k"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = weighed(counts, ["_k", "_v"], "_n", "_before")
+    first = placed.groupBy(F.col("_k").alias("_key")).agg(F.min("_before").alias("_first"))
+    ranks = placed.join(first, F.col("_k").eqNullSafe(F.col("_key"))).select("_k", "_v", (F.col("_before") - F.col("_first") + (F.col("_n") + 1) / 2).alias(out))
+    return df.drop(out).join(ranks, F.col(key).eqNullSafe(F.col("_k")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_k", "_v")
 
 
 def drop_constant(long: DataFrame, min_unique: int = 2, min_std: float = 1e-8, key: str = "variable") -> DataFrame:

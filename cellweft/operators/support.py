@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import intervals, scores
+from .places import numbered_within
 from .range_joins import overlap_join
 
 
@@ -78,11 +79,10 @@ def orientation_stability(runs: DataFrame) -> DataFrame:
 
 def permuted_pairs(samples: DataFrame, column: str, within: str, seed: int = 0) -> DataFrame:
     """A null pairing: ``column`` is dealt anew among the rows of one ``within`` group."""
-    from pyspark.sql import Window
-
-    a = samples.withColumn("_k", F.row_number().over(Window.partitionBy(within).orderBy("sample_id")))
-    b = samples.select(F.col(within).alias("_w"), F.col(column).alias("_v"), F.row_number().over(Window.partitionBy(within).orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id")).alias("_j"))
-    return a.join(b, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_k") == F.col("_j"))).withColumn(column, F.col("_v")).drop("_w", "_v", "_j", "_k")
+    a = numbered_within(samples, within, ["sample_id"], "_k")
+    dealt = samples.select(F.col(within).alias("_w"), F.col(column).alias("_v"), F.col("sample_id").alias("_s"))
+    b = numbered_within(dealt, "_w", [F.xxhash64("_s", F.lit(seed)), "_s"], "_j")
+    return a.join(b, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_k") == F.col("_j"))).withColumn(column, F.col("_v")).select(*samples.columns)
 
 
 def shifted_regions(regions: DataFrame, sizes: DataFrame, shift: int) -> DataFrame:

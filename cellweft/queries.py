@@ -9,6 +9,7 @@ beside it; results that are floats are rounded on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -489,7 +490,18 @@ def rank_average(s, d):
     return matrix.average_rank(table(s, d, "lineitem"), "l_suppkey", "l_quantity").select("l_orderkey", "l_linenumber", "rank")
 
 
-@query()
+def _quantile_sql(p: str) -> str:
+    def ratio(part: str, x: str) -> str:
+        top, bottom = (reduce(lambda sum_, c: f"({sum_} * {x} + {c!r})", cs[1:], repr(cs[0])) for cs in transforms.QUANTILE[part])
+        return f"{top} / {bottom}"
+
+    r = f"sqrt(-ln(least({p}, 1 - {p})))"
+    outer = f"case when {r} <= 5 then {ratio('tail', f'({r} - 1.6)')} else {ratio('far tail', f'({r} - 5)')} end"
+    return f"case when abs({p} - 0.5) <= 0.425 then ({p} - 0.5) * {ratio('centre', f'(0.180625 - ({p} - 0.5) * ({p} - 0.5))')} else sign({p} - 0.5) * ({outer}) end"
+
+
+@query(f"""with r as (select l_orderkey, l_linenumber, l_returnflag as variable, cast(l_quantity as double) as q, (rank() over (partition by l_returnflag order by l_quantity) + (count(*) over (partition by l_returnflag, l_quantity) - 1) / 2 - 0.5) / count(*) over (partition by l_returnflag) as p0 from lineitem),
+b as (select *, cast(least(greatest(p0, 1e-6), 1 - 1e-6) as double) as p from r) select l_orderkey, l_linenumber, variable, round({_quantile_sql("p")}, 6) as value from b""")
 def rank_gaussian(s, d):
     rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("variable"), F.col("l_quantity").alias("value"))
     return transforms.rank_gaussian(rows).withColumn("value", F.round("value", 6))
@@ -512,11 +524,14 @@ def _counts(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "lineitem").select(F.col("l_returnflag").alias("gene"), F.col("l_quantity").alias("y"), (F.col("l_extendedprice") / 1000).alias("library"))
 
 
-@query("""with c as (select l_returnflag as gene, l_quantity as y, greatest(l_extendedprice / 1000 / (select greatest(median(l_extendedprice / 1000), 1) from lineitem where l_extendedprice > 0), 1e-6) as size from lineitem),
+LIKELIHOODS = """c as (select l_returnflag as gene, l_quantity as y, greatest(l_extendedprice / 1000 / (select greatest(median(l_extendedprice / 1000), 1) from lineitem where l_extendedprice > 0), 1e-6) as size from lineitem),
 r as (select gene, sum(y) / sum(size) as rate from c group by all), m as (select gene, y, greatest(size * rate, 1e-12) as mu from c join r using (gene)),
 g as (select unnest(range(200)) as k), ll as (select gene, 'poisson' as family, null::double as parameter, 0 as k, sum(y * ln(mu) - mu - lgamma(y + 1)) as ll from m group by all
 union all select gene, 'nb2', t, k, sum(lgamma(y + t) - lgamma(t) - lgamma(y + 1) + t * (ln(t) - ln(t + mu)) + y * (ln(mu) - ln(t + mu))) from m cross join (select k, power(10, -2 + 8.0 * k / 199) as t from g) group by all
-union all select gene, 'nb1', a, k, sum(lgamma(y + mu / a) - lgamma(mu / a) - lgamma(y + 1) - mu / a * ln(1 + a) + y * (ln(a) - ln(1 + a))) from m cross join (select k, power(10, -4 + 8.0 * k / 199) as a from g) group by all)
+union all select gene, 'nb1', a, k, sum(lgamma(y + mu / a) - lgamma(mu / a) - lgamma(y + 1) - mu / a * ln(1 + a) + y * (ln(a) - ln(1 + a))) from m cross join (select k, power(10, -4 + 8.0 * k / 199) as a from g) group by all)"""
+
+
+@query(f"""with {LIKELIHOODS}
 select gene, family, cast(arg_max(k, ll) as bigint) as grid_point, round(max(ll) / 1000, 3) as kilo_log_likelihood from ll group by all""")
 def family_grid(s, d):
     ll = families.log_likelihoods(families.size_factors(_counts(s, d)))
@@ -524,7 +539,8 @@ def family_grid(s, d):
     return ll.withColumn("point", point.cast("bigint")).groupBy("gene", "family").agg(F.max_by("point", "ll").alias("grid_point"), F.round(F.max("ll") / 1000, 3).alias("kilo_log_likelihood"))
 
 
-@query()
+@query(f"""with {LIKELIHOODS}, f as (select gene, family, case family when 'poisson' then 2 else 4 end - 2 * max(ll) as aic from ll group by gene, family)
+select gene, family as best_family, round(aic, 2) as aic from f qualify row_number() over (partition by gene order by aic, case family when 'nb2' then 0 when 'nb1' then 1 else 2 end) = 1""")
 def family_aic(s, d):
     return families.best_family(families.compare(families.size_factors(_counts(s, d)))).withColumn("aic", F.round("aic", 2))
 
@@ -657,7 +673,12 @@ def variable_features(s, d):
     return embedding.variable_by_variance(embedding.feature_moments(e, 1000), 20)
 
 
-@query()
+@query(f"""with {ENTRIES}, n as (select count(distinct cell) as n from ent), m as (select feature, sum(value) as t, sum(value * value) as tt from ent group by all),
+base as (select feature, t / n as mean, ((tt - n * (t / n) * (t / n)) / (n - 1)) / (t / n) as dispersion from m cross join n where t > 0),
+cut as (select unnest(quantile_cont(mean, [{", ".join(f"{i / 20}" for i in range(1, 20))}])) as c from base), binned as (select feature, dispersion, count(*) filter (mean > c) as bin from base cross join cut group by all),
+mid as (select bin, median(dispersion) as mid from binned group by all), away as (select feature, bin, dispersion, mid, abs(dispersion - mid) as away from binned join mid using (bin)),
+mad as (select bin, median(away) * 1.4826 as mad from away group by all), scored as (select feature, case when mad > 0 then (dispersion - mid) / mad else 0 end as score from away join mad using (bin))
+select feature, round(score, 6) as score from scored order by scored.score desc, feature limit 50""")
 def variable_by_dispersion(s, d):
     e = _entries(s, d)
     return embedding.variable_by_dispersion(embedding.feature_moments(e, e.select("cell").distinct().count()), 50).withColumn("score", F.round("score", 6))
