@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from cellweft import file_queries  # noqa: F401 - registers its queries
+from cellweft import file_queries, operator_queries  # noqa: F401 - they register their queries
 from cellweft import queries as Q
 
 SMALL = "/root/testdata/sf0.001"
