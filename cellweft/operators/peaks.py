@@ -89,6 +89,21 @@ def q_values(per: DataFrame) -> DataFrame:
     return raw.join(below, "step").select("p", F.greatest(inner, "below", F.lit(0.0)).alias("q"))
 
 
+def _merged(stretches: DataFrame, gap: int) -> DataFrame:
+    """Disjoint stretches with ``_g``, the number of their group in the chromosome; larger gaps part groups.
+
+    Ends and numbers are carried over tiles, as depths are, so no task sorts a chromosome.
+    """
+    placed = stretches.withColumn("tile", F.floor(F.col("start") / TILE))
+    inner, tiles = Window.partitionBy("chrom", "tile").orderBy("start"), Window.partitionBy("chrom").orderBy("tile")
+    before = tiles.rowsBetween(Window.unboundedPreceding, -1)
+    ends = placed.groupBy("chrom", "tile").agg(F.max("end").alias("last")).select("chrom", "tile", F.max("last").over(before).alias("_before"))
+    previous = F.coalesce(F.lag("end").over(inner), "_before")
+    marked = placed.join(ends, ["chrom", "tile"]).withColumn("_new", F.coalesce(F.col("start") - previous > gap, F.lit(True)).cast("int"))
+    base = marked.groupBy("chrom", "tile").agg(F.sum("_new").alias("n")).select("chrom", "tile", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    return marked.withColumn("_g", F.sum("_new").over(inner)).join(base, ["chrom", "tile"]).withColumn("_g", F.col("_g") + F.col("_base")).drop("_before", "_new", "_base", "tile")
+
+
 def call(fragments: DataFrame, genome_size: float, q: float = 0.01, shift: int = -100, extend: int = 200, local: int = 10000, min_length: int | None = None, max_gap: int | None = None) -> DataFrame:
     """chrom, start, end, summit, depth, neg_log10_p, neg_log10_q of enriched stretches.
 
@@ -108,9 +123,7 @@ def call(fragments: DataFrame, genome_size: float, q: float = 0.01, shift: int =
     scored = lam.withColumn("lam", F.round(F.greatest("lam_local", F.lit(genome)), 6)).withColumn("p", F.round(_tail("depth", "lam"), 5))
     scored = keep(scored, "scored")  # both ranked and filtered by the ranks
     over = scored.join(q_values(scored.groupBy("p").agg(F.sum(F.col("end") - F.col("start")).alias("length"))).where(F.col("q") >= -np.log10(q)), "p")
-    gap = extend if max_gap is None else max_gap
-    w = Window.partitionBy("chrom").orderBy("start")
-    group = over.withColumn("_new", (F.col("start") - F.coalesce(F.lag("end").over(w), F.lit(-(10**9))) > gap).cast("int")).withColumn("_g", F.sum("_new").over(w))
+    group = _merged(keep(over, "over"), extend if max_gap is None else max_gap)
     best = F.max(F.struct("depth", "p", "q", (-F.col("start")).alias("s"), "end"))
     peaks = group.groupBy("chrom", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), best.alias("b"))
     least = extend if min_length is None else min_length

@@ -1,8 +1,8 @@
-"""MatrixMarket coordinate files as a Spark data source, ``format('mtx')``.
+"""MatrixMarket coordinate files.
 
-The reader drops comments and the size line and skips the header whatever its
-spelling; ``read_triple`` joins cells and features on by position and checks the
-sizes that the file declares.
+``read`` drops comments and the size line, whatever its spelling; ``read_triple``
+joins cells and features on by position and checks the sizes that the file
+declares.
 """
 
 from __future__ import annotations
@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from ..schema import SchemaError
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """row_idx, col_idx (0-based) and value; a plain scan, so large files split."""
+def read(spark: SparkSession, path: str, rows_wanted: DataFrame | None = None) -> DataFrame:
+    """row_idx, col_idx (0-based) and value; a plain scan, so large files split.
+
+    ``rows_wanted`` (row_idx) keeps the entries of these rows alone, in the stage of the scan if they are few.
+    """
     lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     parts = F.split(F.trim("value"), r"\s+")
     size = shape(spark, path)
@@ -23,7 +26,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     start = rows.agg(F.min("at")).first()[0]
     rows = rows.where(F.col("at") != start).select((F.get("p", F.lit(0)).cast("bigint") - 1).alias("row_idx"), (F.get("p", F.lit(1)).cast("bigint") - 1).alias("col_idx"), F.coalesce(F.get("p", F.lit(2)).try_cast("double"), F.lit(1.0)).alias("value"))
     # indices outside the declared size are an error, not data
-    return rows.where(F.when((F.col("row_idx") < 0) | (F.col("row_idx") >= size[0]) | (F.col("col_idx") < 0) | (F.col("col_idx") >= size[1]), F.raise_error(F.lit(f"{path}: an index is outside the matrix"))).isNull())
+    inside = rows.where(F.when((F.col("row_idx") < 0) | (F.col("row_idx") >= size[0]) | (F.col("col_idx") < 0) | (F.col("col_idx") >= size[1]), F.raise_error(F.lit(f"{path}: an index is outside the matrix"))).isNull())
+    return inside if rows_wanted is None else inside.join(rows_wanted.select("row_idx"), "row_idx", "left_semi")
 
 
 def shape(spark: SparkSession, path: str) -> tuple[int, int, int]:

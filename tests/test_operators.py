@@ -1,5 +1,6 @@
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -470,3 +471,33 @@ def test_datasets(spark):
     edges = spark.createDataFrame([("G", "p1", 1.0, 1, 0, "H3K27ac", "fwd")], "source string, target string, weight double, sign int, distance_bp bigint, mark string, type string")
     row = dataset.causal_export("G", rna, edges, {"H3K27ac": entries}, assigned, 1, 2).first()
     assert row.qc_pass and row["linked__H3K27ac"] == pytest.approx(math.log1p(1e4) / 2)
+
+
+def test_merging_over_tiles_matches_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(peaks, "TILE", 50)
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for chrom in ("c", "d"):
+        at, last, g = 0, None, 0
+        for _ in range(150):
+            start = at + int(rng.integers(0, 40))
+            at = start + int(rng.integers(1, 180 if rng.random() < 0.1 else 20))
+            g += last is None or start - last > 15
+            last = at
+            rows.append((chrom, start, at))
+            want[chrom, start] = g
+    got = peaks._merged(spark.createDataFrame(rows, "chrom string, start bigint, end bigint").repartition(5), 15)
+    assert set(got.columns) == {"chrom", "start", "end", "_g"}
+    assert {(r.chrom, r.start): r._g for r in got.collect()} == want
+
+
+def test_peak_counts_count_a_fragment_once_a_peak(spark):
+    rng = np.random.default_rng(7)
+    found = [("c" if rng.random() < 0.8 else "d", int(s := rng.integers(0, 900)), int(s + rng.integers(1, 200)), f"b{rng.integers(4)}") for _ in range(300)] * 2
+    wide = [("c", s, s + 120, f"p{s}") for s in range(0, 1000, 70)] + [("d", 5, 6, "one")]
+    want = Counter()
+    for chrom, s, e, b in found:
+        for c, ps, pe, name in wide:
+            want[b, name] += chrom == c and (ps <= s < pe or ps <= e - 1 < pe)
+    got = counting.peak_counts(spark.createDataFrame(found, "chrom string, start bigint, end bigint, barcode string"), spark.createDataFrame(wide, "chrom string, start bigint, end bigint, name string"), 100)
+    assert {(r.cell, r.feature): r.value for r in got.collect()} == {k: n for k, n in want.items() if n}

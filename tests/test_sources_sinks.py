@@ -66,6 +66,7 @@ def test_mtx(spark, tmp_path, header):
     path = put(tmp_path / "a.mtx", f"{header}\n%\n2 3 3\n1 1 5\n2 3 7\n1 2 1\n")
     assert mtx.shape(spark, path) == (2, 3, 3)
     assert sorted(map(tuple, mtx.read(spark, path).collect())) == [(0, 0, 5.0), (0, 1, 1.0), (1, 2, 7.0)]
+    assert [tuple(r) for r in mtx.read(spark, path, spark.createDataFrame([(1,), (5,)], "row_idx bigint")).collect()] == [(1, 2, 7.0)]
     cells = spark.createDataFrame([(0, "c0"), (1, "c1")], "idx bigint, name string")
     features = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "idx bigint, name string")
     assert ("c1", "c", 7.0) in set(map(tuple, mtx.read_triple(spark, path, cells, features).collect()))
