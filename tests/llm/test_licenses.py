@@ -49,3 +49,27 @@ def test_own_templates_and_empty_table(spark):
     assert licenses.scan(docs, {"own": "Keep this notice", "void": "..."}).first().licenses[0]["license"] == "own"
     assert licenses.scan(docs, {}).first().licenses == []
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_a_stretched_notice_is_found_wherever_it_begins():
+    template = list(range(40))
+    kept = [w for w in template if w % 10 != 3]  # 0.9 of it, stretched to 1.7 lengths
+    notice, extra = [], iter(range(10**6, 2 * 10**6))
+    for k, w in enumerate(kept):
+        notice += [w] + [next(extra) for _ in range(1 if k % 9 else 0)]
+    assert 60 < len(notice) <= 70
+    for before in range(90):
+        text = [next(extra) for _ in range(before)] + notice + [next(extra) for _ in range(50)]
+        assert licenses.find(text, {"t": template}) == [("t", 0.9, before, before + len(notice) - 1 + (notice[-1] < 40))]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 14), max_size=80), st.integers(1, 10))
+def test_finds_what_aligning_every_block_finds(words, n):
+    template = list(range(n))
+    found = licenses.find(words, {"t": template})
+    every = [licenses.align(words[s : s + 2 * n], template) for s in range(0, len(words), max(1, n // licenses.STEPS))]
+    best = max((len(p) for p in every), default=0)
+    assert [f[1] for f in found] == ([best / n] if best >= licenses.COVERAGE * n and words else [])
+    whole = [s for s in range(len(words) - n + 1) if words[s : s + n] == template]
+    assert not whole or found[0][1] == 1 and found[0][3] - found[0][2] >= n
