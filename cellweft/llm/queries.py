@@ -1,13 +1,14 @@
-"""The thin queries of the ten operators, and SQL where SQL can say the same."""
+"""The thin queries of the operators, and SQL where SQL can say the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, linededup, mixing, quality, secrets, simhash, toxicity, warc
+from . import decontam, divergence, hardneg, langid, licenses, linededup, mixing, packing, quality, secrets, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +63,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("row.doc_id").alias("doc_id"), F.col("n_lines").cast("bigint").alias("n_lines"), F.size("dropped").cast("bigint").alias("n_dropped"), F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 256))
+    finite = F.forall(F.col("embedding").cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    got = hardneg.mine(rows.where(finite).select("vec_id", vector.alias("vector"), label.alias("label")), F.col("vec_id") % 50 == 0)
+    return got.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    got = packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_quality, op3_toxicity, op4_simhash, op5_langid, op6_decontaminate, op7_secrets, op8_mix, op9_licenses, op10_line_dedup)
+    f.__name__: f for f in (op1_warc, op2_quality, op3_toxicity, op4_simhash, op5_langid, op6_decontaminate, op7_secrets, op8_mix, op9_licenses, op10_line_dedup, op11_hard_negatives, op12_divergence, op13_packing)
 }
 
 ORACLES: dict[str, str] = {
@@ -88,4 +108,22 @@ ORACLES: dict[str, str] = {
         select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
                sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from doc left join word using (r) left join named using (r)""",
+    "op12_divergence": r"""
+        with doc as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+        word as (select r, lang, source, unnest(w) as term from doc),
+        vocab as (select lang, term from word group by lang, term having count(distinct r) >= 10),
+        size as (select lang, (select count(*) from vocab v where v.lang = g.lang) as v from (select distinct lang from doc) g),
+        held as (select lang, source, term, count(*) as n from word join vocab using (lang, term) group by all),
+        groups as (select g.lang, g.source, v, (select coalesce(sum(n), 0) from held h where h.lang = g.lang and h.source = g.source) as total from (select distinct lang, source from doc) g join size using (lang)),
+        wholes as (select lang, v, sum(total) as total from groups group by lang, v),
+        share as (select g.lang, g.source, t.term, coalesce(n, 0) as n, cast(1 + (1000000000::hugeint * (coalesce(n, 0) + 2)) // (total + 2 * v)::hugeint as hugeint) as p
+                  from groups g join vocab t using (lang) left join held h on h.lang = g.lang and h.source = g.source and h.term = t.term),
+        whole as (select w.lang, t.term, cast(1 + (1000000000::hugeint * (t.n + 2)) // (total + 2 * v)::hugeint as hugeint) as q
+                  from wholes w join (select lang, term, sum(n) as n from held group by all) t using (lang)),
+        pair as (select a.lang, a.source, b.source as item, coalesce((select sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) from share x join share y using (lang, term) where x.lang = a.lang and x.source = a.source and y.source = b.source), 0) as value
+                 from groups a join groups b using (lang) where a.source <> b.source),
+        term as (select lang, source, term as item, ((p - q) * (p - q)) // (p + q) as value from share join whole using (lang, term) where n > 0 and p > q),
+        every as (select *, 'pair' as part from pair union all by name select *, 'term' as part from term),
+        ranked as (select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from every)
+        select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10""",
 }
