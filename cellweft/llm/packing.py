@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -47,9 +48,9 @@ END = 0
 NODES = 6000
 FILLINGS = 6
 TRIED = 8
-#: Bytes of a text that are split at once, and distinct stretches without white space whose ids a worker remembers.
+#: Bytes of a text that are split at once, and distinct stretches whose ids a generation of a worker's memory holds, unless a segment has more.
 SEGMENT = 1 << 20
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -57,8 +58,10 @@ Plan = list[tuple[tuple[int, ...], int]]
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit numbers.
 
-    For tokenizers that drop white space and treat what it separates on its own,
-    as that of ``word_bpe_49k.json``: ids of a stretch are remembered.
+    For tokenizers that drop white space and case and treat runs of letters and of
+    signs on their own, as that of ``word_bpe_49k.json``: ids of a stretch without
+    white space are remembered, and a word with signs behind it is put together from
+    both.  What has not come up for a generation of ``REMEMBERED`` is forgotten.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,31 +70,70 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        for some in range(0, len(new), 4096):
+            part = new[some : some + 4096]
+            for w, e in zip(part, self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def _add(self, words: set[bytes]) -> None:
+        if len(self.known) + 2 * len(words) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        before, known = self.before, self.known
+        plain, need = [], set()
+        for w in words:
+            if w in before:
+                known[w] = before[w]
+            elif (stem := w.rstrip(_SIGNS)).isalpha():
+                own, signs = stem.lower(), w[len(stem) :]
+                plain.append((w, own, signs))
+                need.add(own)
+                need.add(signs)
+            else:
+                need.add(w)
+        need = need.difference(known)
+        old = [w for w in need if w in before]
+        known.update(zip(old, map(before.__getitem__, old), strict=True))
+        self._learn([w for w in need.difference(old) if w])
+        for w, own, signs in plain:
+            known[w] = known[own] + known[signs] if signs else known[own]
 
     def segments(self, text: bytes) -> Iterator[bytes]:
         """The ids of a text, segment by segment."""
-        at, known = 0, self.known
+        at = 0
         while at < len(text):
-            cut = re.compile(rb"[ \t-\r]").search(text, at + SEGMENT)
+            cut = _SPACE.search(text, at + SEGMENT)
             last = cut.start() if cut else len(text)
             words = text[at:last].split()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for some in range(0, len(new), 4096):
-                part = new[some : some + 4096]
-                for w, e in zip(part, self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(known.__getitem__, words))
+            new = set(words).difference(self.known)
+            if new:
+                if len(self.known) + 2 * len(new) > REMEMBERED:
+                    new = set(words)
+                self._add(new)
+            yield b"".join(map(self.known.__getitem__, words))
             at = last
 
 
+_SPACE = re.compile(rb"[ \t-\r]")
+#: Signs which no rule of the tokenizer joins with ASCII letters before them.
+_SIGNS = b"!#$%&()*+,-./:;?@[]^_`{}~"
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece (from 0), start, length and ids (little-endian unsigned 32-bit) of each piece; task and number tell equal lengths apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, task = _encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         last, width = int(end).to_bytes(4, "little"), 4 * capacity
         rows: list[tuple] = []
