@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import recovery
 from .functions import ids, intervals, scores
-from .operators import assignment, clusters, counting, dataset, demux, embedding, families, guidance, joins, latent, matrix, metacells, neighbours, peaks, qc, range_joins, support, transforms
+from .operators import assignment, clusters, counting, dataset, demux, embedding, families, guidance, guided, joins, latent, matrix, metacells, neighbours, peaks, qc, range_joins, support, transforms
 from .operators.causal import priors, runner
 from .sources.delimited import expand_barcodes, first_per, guidance_graph
 
@@ -769,6 +770,45 @@ def communities(s, d):
     return clusters.label_propagation(clusters.neighbour_graph(_points(s, d), 8))
 
 
+@query("""select count(*) as nodes, true as connected, true as as_good_as_propagation, true as settled from embeddings""")
+def modularity_communities(s, d):
+    """Communities by modularity of the neighbour graph, by what must hold of them."""
+    graph = recovery.keep(clusters.neighbour_graph(_points(s, d), 8), "neighbours")
+    found = recovery.keep(clusters.leiden(graph), "communities")
+    inner = graph.join(found.select(F.col("id").alias("a"), F.col("cluster").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("cluster").alias("y")), "b").where("x = y")
+    pieces = clusters.connected(inner.select("a", "b")).groupBy("root").count().count()
+    ours, theirs, one = (clusters.modularity(graph, x) for x in (found, clusters.label_propagation(graph), found.select("id", F.lit(0).cast("bigint").alias("cluster"))))
+    said = found.agg(F.count("*").alias("nodes"), F.count_distinct("cluster").alias("n"), F.count_distinct(F.when(F.col("id") != F.col("cluster"), F.col("cluster"))).alias("large"))
+    return said.select("nodes", (F.col("large") == pieces).alias("connected"), F.lit(ours >= theirs - 1e-9).alias("as_good_as_propagation"), F.lit(ours > one).alias("settled"))
+
+
+def _guided_space(s, d):
+    """Odd orders as cells with counts of parts (bins), even ones with counts of suppliers (genes), and the links between."""
+    line = table(s, d, "lineitem")
+    rna = F.col("l_orderkey") % 2 == 0
+    gene, bin_ = F.concat(F.lit("gene_"), F.col("l_suppkey")), F.concat(F.lit("peak_"), F.col("l_partkey"))
+    entries = line.select(F.col("l_orderkey").alias("cell"), F.when(rna, gene).otherwise(bin_).alias("feature"), F.col("l_quantity").cast("double").alias("value"))
+    cells = table(s, d, "orders").select(F.col("o_orderkey").alias("cell"), F.when(F.col("o_orderkey") % 2 == 0, "rna").otherwise("chrom").alias("modality"))
+    genes = table(s, d, "supplier").select(F.concat(F.lit("gene_"), F.col("s_suppkey")).alias("feature"), F.lit("rna").alias("modality"))
+    bins = _peaks(s, d).select(F.col("name").alias("feature"), F.lit("chrom").alias("modality"))
+    linked = _links(s, d).select(F.concat(F.lit("gene_"), F.regexp_extract("gene", r"(\d+)$", 1).cast("bigint")).alias("source"), F.col("feature").alias("target"), "weight", F.when(F.col("mark") == "H3K27me3", -1).otherwise(1).alias("sign"))
+    return guided.prepare(entries, cells, genes.union(bins), linked)
+
+
+@query(f"""with {PEAKS}, {GENES}, {LINKS} select (select count(*) from supplier) + (select count(*) from part) as features, (select count(*) from orders) as cells, (select count(*) from (select distinct gene, feature from link)) as edges, true as loss_falls""")
+def guided_training(s, d):
+    space = _guided_space(s, d)
+    _, losses = guided.fit(space, guided.Settings(dims=8, steps=6))
+    return s.createDataFrame([(space.n, int(space.n_cells.sum()), space.n_edges, bool(losses[-1] < losses[0]))], "features bigint, cells bigint, edges bigint, loss_falls boolean")
+
+
+@query("""select o_orderkey as cell, case when o_orderkey % 2 = 0 then 'rna' else 'chrom' end as modality, 8 as dims, 1.0 as length from orders""")
+def guided_embedding(s, d):
+    space = _guided_space(s, d)
+    state, _ = guided.fit(space, guided.Settings(dims=8, steps=6))
+    return guided.encode(space, state, 8).select("cell", "modality", F.size("emb").alias("dims"), _length("emb"))
+
+
 @query("""with n as (select o_custkey % 50 as metacell, o_orderstatus as label, count(*) as n from orders where o_orderpriority not like '1%' group by all)
 select metacell, label as majority_label, round(n / sum(n) over (partition by metacell), 6) as purity from n qualify row_number() over (partition by metacell order by n desc, label) = 1""")
 def metacell_purity(s, d):
