@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that one kernel call handles, unless one text alone is longer.
 PIECE_BYTES = 1 << 20
+#: Bytes of a span from which it is hashed on its own.
+LONG = 128
 
 _byte = np.arange(256)
 #: Words of [^\x20\x09-\x0D]+ .
@@ -132,10 +135,18 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, the same for the same bytes wherever they are."""
+def hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, the same for the same bytes wherever they are.
+
+    A polynomial modulo 2^64 cannot tell some spans of a kilobyte apart, whatever its base, so
+    those from ``LONG`` bytes on, of which there are few, are hashed by XXH64.
+    """
     _, down = _powers.get(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0x9FB21C651E98DF25))
+    out = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0x9FB21C651E98DF25))
+    long, view = np.flatnonzero(ends - starts >= LONG), memoryview(np.ascontiguousarray(data))
+    if len(long):
+        out[long] = [xxhash.xxh64_intdigest(view[i:j], 42) for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:

@@ -96,7 +96,7 @@ class Block:
         data, offsets = T.buffers(pa.array([t for _, t in rows], pa.large_string()))
         data, offsets = T.LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
         spans = T.runs(data, offsets, T.PLAIN)
-        vocabulary, ids = np.unique(T.hashes(T.prefix_sums(data), spans.starts, spans.ends), return_inverse=True)
+        vocabulary, ids = np.unique(T.hashes(T.prefix_sums(data), spans.starts, spans.ends, data), return_inverse=True)
         ids = ids.astype(np.int64) + 1
         same: dict[bytes, int] = {}
         names: list[set[str]] = []
@@ -222,7 +222,7 @@ def search_shard(block: Block, data: np.ndarray, offsets: np.ndarray, detail: bo
     if not len(block.starts) or not len(spans.starts):
         return none
     n = len(offsets) - 1
-    h = T.hashes(T.prefix_sums(data), spans.starts, spans.ends)
+    h = T.hashes(T.prefix_sums(data), spans.starts, spans.ends, data)
     place = np.searchsorted(block.vocabulary, h)
     known = place < len(block.vocabulary)
     known[known] = block.vocabulary[place[known]] == h[known]

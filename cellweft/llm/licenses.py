@@ -54,7 +54,7 @@ TEMPLATES = {
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[T.Spans, np.ndarray]:
     data = T.LOWER[data]
     spans = T.runs(data, offsets, T.PLAIN)
-    return spans, T.hashes(T.prefix_sums(data), spans.starts, spans.ends)
+    return spans, T.hashes(T.prefix_sums(data), spans.starts, spans.ends, data)
 
 
 def template_words(templates: dict[str, str]) -> dict[str, list[int]]:

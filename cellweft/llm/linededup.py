@@ -63,7 +63,7 @@ class Parsed:
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         self.lines = T.lines(data, offsets)
         words = T.runs(data, offsets, T.SPACED)
-        h = T.hashes(T.prefix_sums(data), words.starts, words.ends)
+        h = T.hashes(T.prefix_sums(data), words.starts, words.ends, data)
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
         variable = digits[words.ends] > digits[words.starts]
         first = np.searchsorted(words.starts, self.lines.starts)

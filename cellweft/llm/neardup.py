@@ -60,7 +60,7 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     """Shingle hashes of a piece, and where each row's begin."""
     data = T.LOWER[data]
     words = T.runs(data, offsets, T.SPACED)
-    h = T.hashes(T.prefix_sums(data), words.starts, words.ends)
+    h = T.hashes(T.prefix_sums(data), words.starts, words.ends, data)
     count = words.count
     row = np.concatenate([[0], np.cumsum(np.where(count >= width, count - width + 1, np.minimum(count, 1)))])
     out = np.zeros(row[-1], np.uint64)

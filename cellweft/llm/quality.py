@@ -51,13 +51,13 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.nda
     """The base counts of each row, its words and their hashes."""
     words = T.runs(data, offsets, T.SPACED)
     sums = T.prefix_sums(data)
-    word_hash = T.hashes(sums, words.starts, words.ends)
+    word_hash = T.hashes(sums, words.starts, words.ends, data)
     chars = (T.SPACED[data]) & ((data & 0xC0) != 0x80)
 
     lines = T.lines(data, offsets)
     filled = np.searchsorted(words.starts, lines.ends) > np.searchsorted(words.starts, lines.starts)
     line_row = lines.rows()[filled]
-    line_hash = T.hashes(sums, lines.starts[filled], lines.ends[filled])
+    line_hash = T.hashes(sums, lines.starts[filled], lines.ends[filled], data)
     order = np.lexsort((line_hash, line_row))
     h, r = line_hash[order], line_row[order]
     again = np.zeros(len(h), bool)
@@ -133,7 +133,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, bits: i
         for batch in batches:
             for i, j, data, offsets in T.pieces(batch.column("text")):
                 words = T.runs(data, offsets, T.SPACED)
-                word_hash = T.hashes(T.prefix_sums(data), words.starts, words.ends)
+                word_hash = T.hashes(T.prefix_sums(data), words.starts, words.ends, data)
                 per_row: list[tuple[list, list]] = [([], []) for _ in range(j - i)]
                 for buckets, row in _features(data, offsets, words, word_hash, bits):
                     for d in range(j - i):

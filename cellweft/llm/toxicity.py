@@ -67,10 +67,10 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     words = T.runs(data, offsets, T.PLAIN)
     sums, rows = T.prefix_sums(data), words.rows()
     shift = np.uint64(64 - BITS)
-    out, at = [T.hashes(sums, words.starts, words.ends) >> shift], [rows]
+    out, at = [T.hashes(sums, words.starts, words.ends, data) >> shift], [rows]
     for n in PREFIXES:
         long = words.ends - words.starts > n
-        h = T.hashes(sums, words.starts[long], words.starts[long] + n)
+        h = T.hashes(sums, words.starts[long], words.starts[long] + n, data)
         out.append(T.mix(h + np.uint64(n)) >> shift)
         at.append(rows[long])
     return np.concatenate(at), np.concatenate(out).astype(np.int32)

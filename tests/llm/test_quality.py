@@ -74,7 +74,7 @@ def test_character_grams_are_of_code_points():
     texts = ["aé𝄞b", "", "é", "日本語です"]
     for _, _, data, offsets in T.pieces(pa.array(texts)):
         words = T.runs(data, offsets, T.SPACED)
-        groups = list(quality._features(data, offsets, words, T.hashes(T.prefix_sums(data), words.starts, words.ends), 16))
+        groups = list(quality._features(data, offsets, words, T.hashes(T.prefix_sums(data), words.starts, words.ends, data), 16))
     for n, (buckets, row) in zip(quality.GRAMS, groups[2:], strict=True):
         assert np.diff(row).tolist() == [max(0, len(t) - n + 1) for t in texts] and len(buckets) == row[-1]
     assert len(set(groups[2][0].tolist())) == 7
