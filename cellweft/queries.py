@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import recovery
 from .functions import ids, intervals, scores
-from .operators import assignment, clusters, counting, dataset, demux, embedding, families, guidance, guided, joins, latent, matrix, metacells, neighbours, peaks, qc, range_joins, support, transforms
+from .operators import assignment, clusters, counting, dataset, demux, embedding, families, guidance, guided, joins, latent, matrix, metacells, neighbours, peaks, qc, range_joins, support, transforms, umap
 from .operators.causal import priors, runner
 from .sources.delimited import expand_barcodes, first_per, guidance_graph
 
@@ -782,6 +782,22 @@ def modularity_communities(s, d):
     return said.select("nodes", (F.col("large") == pieces).alias("connected"), F.lit(ours >= theirs - 1e-9).alias("as_good_as_propagation"), F.lit(ours > one).alias("settled"))
 
 
+@query("""select vec_id as id, 3.0 as total, 1.0 as nearest from embeddings""")
+def neighbour_strengths(s, d):
+    """What the strengths of a point's eight neighbours add up to, and the largest."""
+    points = _points(s, d).select("id", "emb")
+    found = neighbours.knn(points, points, 8, skip_self=True)
+    near = found.groupBy(F.col("query").alias("id")).agg(F.collect_list(F.struct(F.col("neighbour").alias("other"), "distance")).alias("near"))
+    return umap.strengths(near).groupBy("id").agg(F.round(F.sum("strength"), 5).alias("total"), F.round(F.max("strength"), 5).alias("nearest"))
+
+
+@query("""select vec_id as id, true as placed from embeddings""")
+def neighbour_layout(s, d):
+    points = _points(s, d).select("id", "emb")
+    got = umap.layout(points, umap.fuzzy_graph(points, 8), epochs=12)
+    return got.select("id", (F.col("x").isNotNull() & ~F.isnan("x") & ~F.isnan("y") & (F.abs("x") + F.abs("y") < 1e6)).alias("placed"))
+
+
 def _guided_space(s, d):
     """Odd orders as cells with counts of parts (bins), even ones with counts of suppliers (genes), and the links between."""
     line = table(s, d, "lineitem")
