@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..recovery import keep
 from ..schema import SchemaError
+from .neighbours import knn
+
+#: Anchors times candidates that one task holds.
+MOST_CANDIDATES = 4_000_000
 
 
 def solve(cost: np.ndarray) -> np.ndarray:
@@ -49,28 +56,99 @@ def solve(cost: np.ndarray) -> np.ndarray:
     return col_of
 
 
-def match(anchors: DataFrame, cells: DataFrame, mark: str = "mark") -> DataFrame:
+def solve_sparse(starts: np.ndarray, cols: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Column of each row at least total cost, and the rows' prices, where row i may take ``cols[starts[i]:starts[i + 1]]`` (cheapest first); None if not all rows can have one.
+
+    Shortest augmenting paths over a heap: a path visits the candidates that it passes, not all.  A column that no
+    row holds has price zero and others less, so a column that is not listed for row i is no better for it if it costs the row's price or more.
+    """
+    n = len(starts) - 1
+    price, row_of = dict.fromkeys(cols.tolist(), 0.0), {}
+    rows = [list(zip(cols[i:j].tolist(), costs[i:j].tolist(), strict=True)) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+    own, at = np.full(n, -1), [r[0][1] if r else 0.0 for r in rows]
+    for start in range(n):
+        reach: dict[int, float] = {}
+        came: dict[int, int] = {}
+        done: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        row, path, end = start, 0.0, -1
+        while end < 0:
+            base = path - at[row]
+            for col, cost in rows[row]:
+                far = base + cost - price[col]
+                if col not in done and far < reach.get(col, np.inf):
+                    reach[col], came[col] = far, row
+                    heappush(heap, (far, col))
+            while heap and (heap[0][1] in done or heap[0][0] > reach[heap[0][1]]):
+                heappop(heap)
+            if not heap:
+                return None
+            path, col = heappop(heap)
+            done.add(col)
+            if col in row_of:
+                row = row_of[col]
+            else:
+                end = col
+        at[start] += path
+        for col in done - {end}:
+            at[row_of[col]] += path - reach[col]
+            price[col] -= path - reach[col]
+        col = end
+        while True:
+            row = came[col]
+            row_of[col], own[row], col = row, col, int(own[row])
+            if row == start:
+                break
+    return own, np.array(at)
+
+
+def match(anchors: DataFrame, cells: DataFrame, mark: str = "mark", k: int = 16, most: int = MOST_CANDIDATES) -> DataFrame:
     """sample_id, mark, matched_cell, match_distance: each mark alone, least total Euclidean distance.
 
-    ``anchors`` (sample_id, id, emb) are a chosen few, sent to one task a mark;
-    ``cells`` (mark, id, emb) of a mark must fit in that task with the cost matrix.
+    ``anchors`` is (sample_id, id, emb), ``cells`` (mark, id, emb).  Distances are found by the neighbour
+    search, which leaves each anchor its ``k`` nearest cells of a mark; the assignment is solved over these alone,
+    by one task a mark.  It is the best of all cells if no anchor's price is beyond its farthest candidate, as prices of
+    cells are never above zero; else the mark's candidates are doubled, at most to the number of anchors, which always
+    is enough.  So no task holds a mark or a matrix, but anchors times candidates, and more than ``most`` of these
+    are an error.
     """
-    rows = sorted(((r.sample_id, np.array(r.emb, float)) for r in anchors.select("sample_id", F.col("emb").cast("array<double>")).collect()), key=lambda r: r[0])
-    names, x = [r[0] for r in rows], np.array([r[1] for r in rows])
-    few = cells.groupBy(mark).count().where(F.col("count") < len(names)).collect()
+    points = anchors.select(F.col("sample_id").alias("id"), "emb").where("emb is not null")
+    n = points.count()
+    sizes = {r[0]: r[1] for r in cells.where("emb is not null").groupBy(F.col(mark).cast("string")).count().collect()}
+    few = [m for m, size in sizes.items() if size < n]
     if few:
-        raise SchemaError("fewer cells than anchors in " + ", ".join(str(r[0]) for r in few))
+        raise SchemaError("fewer cells than anchors in " + ", ".join(map(str, few)))
+    kind = cells.schema["id"].dataType.simpleString()
+    schema = f"sample_id string, mark string, matched_cell {kind}, match_distance double, settled boolean"
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("id", kind="stable").reset_index(drop=True)
-        y = np.array(df.emb.tolist(), float)
-        cost = np.sqrt(np.maximum(((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T), 0))
-        at = solve(cost) if len(names) else np.zeros(0, int)
-        exact = np.sqrt(((x - y[at]) ** 2).sum(1)) if len(names) else []
-        return pd.DataFrame({"sample_id": names, "mark": str(key[0]), "matched_cell": df.id.to_numpy()[at] if len(names) else [], "match_distance": exact})
-
-    kind = cells.schema["id"].dataType.simpleString()
-    return cells.select(mark, "id", F.col("emb").cast("array<double>").alias("emb")).groupBy(mark).applyInPandas(run, f"sample_id string, mark string, matched_cell {kind}, match_distance double")
+        df = df.sort_values(["query", "distance", "neighbour"], kind="stable")
+        names, row = np.unique(df["query"].to_numpy(), return_inverse=True)
+        ids, col = np.unique(df["neighbour"].to_numpy(), return_inverse=True)
+        starts = np.searchsorted(row, np.arange(len(names) + 1))
+        cost = df["distance"].to_numpy()
+        found = solve_sparse(starts, col, cost)
+        if found is None:
+            return pd.DataFrame({"sample_id": names[:1], "mark": key[0], "matched_cell": ids[:1], "match_distance": np.nan, "settled": False})
+        own, price = found
+        pair = {(r, c): d for r, c, d in zip(row.tolist(), col.tolist(), cost.tolist(), strict=True)}
+        whole = np.diff(starts) >= min(n, sizes[key[0]])
+        settled = bool((whole | (price <= cost[starts[1:] - 1] + 1e-9)).all())
+        return pd.DataFrame({"sample_id": names, "mark": key[0], "matched_cell": ids[own], "match_distance": [pair[i, c] for i, c in enumerate(own.tolist())], "settled": settled})
+
+    open_, done = cells.select(F.col(mark).cast("string").alias("mark"), "id", "emb"), None
+    k = min(k, max(n, 1))
+    while True:
+        if n * k > most:
+            raise SchemaError(f"{n} anchors with {k} candidates each are more than {most}: choose fewer pairs")
+        near = knn(points, open_, k, group="mark").select("query", "neighbour", "distance", "mark")
+        got = keep(near.groupBy("mark").applyInPandas(run, schema), "assignment")
+        settled = got.where("settled").drop("settled")
+        done = settled if done is None else done.union(settled)
+        left = [r[0] for r in got.where("not settled").select("mark").distinct().collect()]
+        if not left:
+            return done
+        open_, k = open_.where(F.col("mark").isin(left)), min(2 * k, n)
 
 
 def match_summary(matches: DataFrame) -> DataFrame:

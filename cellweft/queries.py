@@ -455,11 +455,24 @@ def silhouette(s, d):
     return neighbours.silhouette(_points(s, d), "label").select(F.round("silhouette", 6).alias("silhouette"))
 
 
-@query()
-def assign_one_to_one(s, d):
+def _pairs(s, d):
+    """The best supported points of label 0 as anchors, as many as each other label has points, and their matches in every label."""
     p = _points(s, d)
-    anchors = p.where("label = '0'").orderBy("id").limit(20).select(F.format_string("PAIR_%04d", F.col("id")).alias("sample_id"), "id", "emb")
-    return assignment.match(anchors, p.where("label in ('1', '2', '3')").withColumnRenamed("label", "mark"))
+    own, cells = p.where("label = '0'").select("id", "emb"), p.where("label <> '0'").withColumnRenamed("label", "mark")
+    n = min([own.count(), *(r[0] for r in cells.groupBy("mark").count().select("count").collect())])
+    anchors = neighbours.select_anchors(neighbours.nearest_support(own, cells), n).select("sample_id", "id")
+    return recovery.keep(anchors.join(own, "id"), "anchors"), cells
+
+
+@query("""with n as (select label, count(*) as n from embeddings where label is not null group by label)
+select cast(label as varchar) as mark, (select min(n) from n) as pairs, (select min(n) from n) as samples, (select min(n) from n) as cells, true as at_least_nearest from n where label <> 0""")
+def assign_one_to_one(s, d):
+    """Matches by mark: all samples, no cell twice, and in all at least as far as everyone's nearest cell."""
+    anchors, cells = _pairs(s, d)
+    found = recovery.keep(assignment.match(anchors, cells), "pairs")
+    near = neighbours.knn(anchors.select(F.col("sample_id").alias("id"), "emb"), cells, 1, group="mark").groupBy("mark").agg(F.sum("distance").alias("floor"))
+    mine = found.groupBy("mark").agg(F.count("*").alias("pairs"), F.count_distinct("sample_id").alias("samples"), F.count_distinct("matched_cell").alias("cells"), F.sum("match_distance").alias("total"))
+    return mine.join(near, "mark").select("mark", "pairs", "samples", "cells", (F.col("total") >= F.col("floor") - 1e-9).alias("at_least_nearest"))
 
 
 @query()
