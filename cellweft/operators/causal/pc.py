@@ -1,7 +1,8 @@
 """PC and FCI over an independence test.
 
 The skeleton's levels are stable: all tests of a depth use the graph before it,
-so they may run in any order, on the driver or in parallel over executors.
+so they may run in any order, on the driver or in parallel over executors.  A test
+that has ``ahead`` is given all tests of a depth at once.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ def skeleton(d: int, test: Test, alpha: float = 0.05, max_depth: int = -1, forbi
         if adj.sum(1).max(initial=0) - 1 < depth:
             break
         before = adj.copy()
+        if stable and hasattr(test, "ahead"):
+            test.ahead([(x, y, given) for x in range(d) for y in np.flatnonzero(before[x]).tolist() if not ((x, y) in forbidden and (y, x) in forbidden) for given in combinations([z for z in np.flatnonzero(before[x]).tolist() if z != y], depth)])
         gone: set[tuple[int, int]] = set()
         for x in range(d):
             for y in np.flatnonzero(before[x] if stable else adj[x]).tolist():

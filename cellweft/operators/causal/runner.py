@@ -15,10 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...functions import ids
+from ...recovery import keep
 from .. import matrix, transforms
 from . import dagma, pc, priors
+from .random_features import RandomFeatureTest
 from .tests import FisherZ, KernelTest, correlation
 
+#: Complete rows that a method without a form in sums takes into memory: the exact kernel test (quadratic in them) and count families.
+MOST_KERNEL_ROWS = 5_000
+MOST_ROWS = 200_000
+
 EDGE_SCHEMA = "node1 string, endpoint1 string, node2 string, endpoint2 string, edge_text string, source string, target string, weight double, abs_weight double"
 
 
@@ -101,8 +107,9 @@ def fit_array(x: np.ndarray, names: list[str], spec: Spec, forbidden: set[tuple[
 def run(long: DataFrame, spec: Spec, columns: list[str] | None = None, row: str = "row") -> tuple[DataFrame, dict]:
     """Edges and a summary of one search over (row, variable, value).
 
-    Fisher's z is computed from sums over all rows by Spark; other methods take
-    the complete rows of the chosen variables into memory.
+    Fisher's z and the test by random features (``rcit``) are computed from sums over
+    all rows by Spark; other methods take the complete rows of the chosen variables
+    into memory, and more of them than ``MOST_KERNEL_ROWS`` or ``MOST_ROWS`` are an error.
     """
     spark = long.sparkSession
     all_names = columns or select_columns(sorted(r.variable for r in long.select("variable").distinct().collect()), "raw_counts" if spec.method == "dagma" and quant_mode_of(spec.family) == "raw_counts" else "log1p")
@@ -120,12 +127,18 @@ def run(long: DataFrame, spec: Spec, columns: list[str] | None = None, row: str
     if spec.method in ("pc", "fci") and spec.test == "fisherz":
         corr, n = correlation(wide, names)
         edges = fit_array(np.zeros((0, len(names))), names, spec, forbidden, test=FisherZ(corr, n))
+    elif spec.method in ("pc", "fci") and spec.test == "rcit":
+        test = RandomFeatureTest(keep(wide, "wide"), names)
+        n, edges = test.n, fit_array(np.zeros((0, len(names))), names, spec, forbidden, test=test)
     elif spec.method == "dagma" and spec.family == "gaussian" and spec.standardise:
         # moments are enough, so rows stay where they are
         corr, n = correlation(wide, names)
         model = dagma.Dagma(["gaussian"] * len(names), None, spec.lambda1, spec.threshold, spec.stages, spec.warm, spec.last)
         edges = dagma.edge_records(model.fit_moments(corr * (max(1, n - 1) / max(1, n)), forbidden), names)
     else:
+        most = MOST_ROWS if spec.method == "dagma" else MOST_KERNEL_ROWS
+        if wide.count() > most:
+            raise ValueError(f"more than {most} rows: choose fewer, or a test that works on sums (fisherz, rcit)")
         x = wide.orderBy(row).select(*(F.col(f"`{c}`").cast("double") for c in names)).toPandas().to_numpy()
         n, offsets = len(x), None
         if spec.method == "dagma" and "nb2" in dagma.PRESETS[spec.family]:

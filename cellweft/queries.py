@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import recovery
 from .functions import ids, intervals, scores
 from .operators import assignment, clusters, counting, dataset, demux, embedding, families, guidance, guided, joins, latent, matrix, metacells, neighbours, peaks, qc, range_joins, support, transforms, umap
-from .operators.causal import priors, runner
+from .operators.causal import priors, random_features, runner
 from .sources.delimited import expand_barcodes, first_per, guidance_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -650,6 +650,15 @@ def pc_graph(s, d):
     return runner.run(_features(s, d), runner.Spec(background="minimal_expr_sink", max_depth=2))[0]
 
 
+@query("""with x as (select count(distinct l_orderkey) as n from lineitem) select 'line' as given, true as linked, true as parted from x""")
+def nonlinear_independence(s, d):
+    """Random features over all lines: a price follows its quantity though squares hide it from correlation, and given the quantity not the line's number."""
+    rows = table(s, d, "lineitem").select(F.pow(F.col("l_quantity") - 25.5, F.lit(2)).alias("square"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_linenumber").cast("double").alias("line"))
+    test = random_features.RandomFeatureTest(rows, ["square", "quantity", "line"])
+    test.ahead([(0, 1, ()), (0, 2, (1,)), (0, 1, (2,))])
+    return s.createDataFrame([("line", test(0, 1, (2,)) < 1e-6 and test(0, 1) < 1e-6, test(0, 2, (1,)) > 1e-3)], "given string, linked boolean, parted boolean")
+
+
 @query()
 def fci_graph(s, d):
     return runner.run(_features(s, d), runner.Spec(method="fci", background="minimal_expr_sink", max_depth=2, transform="rank_gaussian"))[0]
