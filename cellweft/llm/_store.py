@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from .. import recovery
 from ..recovery import scratch, shared_dir
 
-__all__ = ["BROADCAST_KEYS", "bounded", "keep", "once", "scratch", "shared_dir", "text_keys", "without"]
+__all__ = ["BROADCAST_KEYS", "bound_batches", "bounded", "keep", "once", "scratch", "shared_dir", "text_keys", "without"]
 
 #: Rows of two bigints that are sent to every executor (about 64 MB as a hash table); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -35,6 +35,13 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches of what an operator returns to be run later, unless the session has a bound of its own; it stays set."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "1") == "1":
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def keep(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """``recovery.keep`` with small batches."""
     with small_batches(df.sparkSession):

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import _text as T
-from ._store import keep
+from ._store import bound_batches, keep
 
 DEPTH = 3
 BLOCKS = 7
@@ -198,6 +198,7 @@ def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similar: float = S
 def dedup(documents: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """Struct ``row`` (the document, its text without dropped lines), n_lines and dropped (line numbers from 0)."""
     spark = documents.sparkSession
+    bound_batches(spark)
     lines = recurring(documents, min_docs, similar, broadcast_lines)
     names = documents.columns
     # the row without its text, which would travel twice
