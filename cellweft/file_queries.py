@@ -18,7 +18,7 @@ from .operators import guidance, qc
 from .queries import ENTRIES, FRAGMENTS, GENES, PEAKS, _entries, _fragments, _genes, _peaks, query, table
 from .recovery import scratch
 from .sinks import tables
-from .sources import archive, bundle, delimited, mtx
+from .sources import archive, bundle, delimited, mtx, mtx_index
 
 
 def _lines(df: DataFrame, name: str, compression: str = "gzip") -> str:
@@ -106,6 +106,20 @@ def read_matrix_market(s, d):
     return mtx.read_triple(s, f"{path}.mtx", cells, features)
 
 
+@query(f"""with {ENTRIES}, c as (select distinct cell, cast(cell as varchar) as name from ent), f as (select distinct feature, cast(feature as varchar) as name from ent),
+ci as (select cell, row_number() over (order by name) - 1 as row_idx from c), fi as (select feature, row_number() over (order by name) - 1 as col_idx from f)
+select row_idx, col_idx, value from ent join ci using (cell) join fi using (feature) where row_idx between 100 and 149 or row_idx = 7""")
+def read_matrix_rows(s, d):
+    """Some rows of a matrix through the indexed source, which skips the spans of others."""
+    e = _entries(s, d)
+    cells, features = (tables.index_names(e.select(F.col(c).cast("string").alias(c)), c) for c in ("cell", "feature"))
+    placed = e.join(cells.select(F.col("name").cast("bigint").alias("cell"), F.col("idx").alias("row_idx")), "cell").join(features.select(F.col("name").cast("bigint").alias("feature"), F.col("idx").alias("col_idx")), "feature")
+    path = _file(s, "rows")
+    tables.write_mtx(placed.select("row_idx", "col_idx", "value"), cells, features, path)
+    got = mtx_index.read(s, f"{path}.mtx", mtx_index.index(s, f"{path}.mtx"))
+    return got.where("row_idx between 100 and 149").union(got.where("row_idx = 7"))
+
+
 @query(f"""with {PEAKS} select chrom, s as start, e as "end", name, 'H3K27ac' as mark from peak""")
 def read_peaks_bed(s, d):
     narrow = _peaks(s, d).select("chrom", "start", "end", "name", F.lit(0), F.lit("."), F.lit(1.5), F.lit(2.5), F.lit(3.5), F.lit(7))
