@@ -792,19 +792,19 @@ def communities(s, d):
     return clusters.label_propagation(clusters.neighbour_graph(_points(s, d), 8))
 
 
-@query("""select count(*) as nodes, true as connected, true as as_good_as_propagation, true as settled from embeddings""")
+@query("""select count(*) as nodes, true as connected, true as as_good_as_propagation, true as above_zero from embeddings""")
 def modularity_communities(s, d):
     """Communities by modularity of the neighbour graph, by what must hold of them."""
     graph = recovery.keep(clusters.neighbour_graph(_points(s, d), 8), "neighbours")
-    found = recovery.keep(clusters.leiden(graph), "communities")
+    found = recovery.keep(clusters.leiden(graph, passes=1), "communities")
     inner = graph.join(found.select(F.col("id").alias("a"), F.col("cluster").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("cluster").alias("y")), "b").where("x = y")
     pieces = clusters.connected(inner.select("a", "b")).groupBy("root").count().count()
-    ours, theirs, one = (clusters.modularity(graph, x) for x in (found, clusters.label_propagation(graph), found.select("id", F.lit(0).cast("bigint").alias("cluster"))))
+    ours, theirs = (clusters.modularity(graph, x) for x in (found, clusters.label_propagation(graph)))
     said = found.agg(F.count("*").alias("nodes"), F.count_distinct("cluster").alias("n"), F.count_distinct(F.when(F.col("id") != F.col("cluster"), F.col("cluster"))).alias("large"))
-    return said.select("nodes", (F.col("large") == pieces).alias("connected"), F.lit(ours >= theirs - 1e-9).alias("as_good_as_propagation"), F.lit(ours > one).alias("settled"))
+    return said.select("nodes", (F.col("large") == pieces).alias("connected"), F.lit(ours >= theirs - 1e-9).alias("as_good_as_propagation"), F.lit(ours > 0).alias("above_zero"))
 
 
-@query("""select vec_id as id, 3.0 as total, 1.0 as nearest from embeddings""")
+@query("""select vec_id as id, cast(3 as double) as total, cast(1 as double) as nearest from embeddings""")
 def neighbour_strengths(s, d):
     """What the strengths of a point's eight neighbours add up to, and the largest."""
     points = _points(s, d).select("id", "emb")
@@ -840,7 +840,7 @@ def guided_training(s, d):
     return s.createDataFrame([(space.n, int(space.n_cells.sum()), space.n_edges, bool(losses[-1] < losses[0]))], "features bigint, cells bigint, edges bigint, loss_falls boolean")
 
 
-@query("""select o_orderkey as cell, case when o_orderkey % 2 = 0 then 'rna' else 'chrom' end as modality, 8 as dims, 1.0 as length from orders""")
+@query("""select o_orderkey as cell, case when o_orderkey % 2 = 0 then 'rna' else 'chrom' end as modality, 8 as dims, cast(1 as double) as length from orders""")
 def guided_embedding(s, d):
     space = _guided_space(s, d)
     state, _ = guided.fit(space, guided.Settings(dims=8, steps=6))
