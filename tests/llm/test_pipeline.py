@@ -6,6 +6,8 @@ import __spark_entry__
 import corpus_pipeline
 from cellweft.llm import queries as Q
 
+from . import test_hardneg, test_packing
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -136,7 +138,19 @@ def test_queries_run_over_whole_tables(spark, name):
     got = Q.QUERIES[name](spark, SMALL)
     key, table = ("page_id", "pages") if name.startswith("op1_") else ("doc_id", "documents")
     rows = got.collect()
-    assert len(rows) == spark.read.parquet(f"{SMALL}/{table}.parquet").count() and key in got.columns
+    if name.startswith("op11_"):
+        points = spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()
+        want = test_hardneg.brute([(r.vec_id, None if r.embedding is None else list(r.embedding), r.label) for r in points])
+        assert want and sorted((tuple(r) for r in rows), key=str) == want
+        return
+    if name.startswith("op13_"):
+        test_packing.check(rows, [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()])
+        return
+    if name.startswith("op12_"):
+        groups = spark.read.parquet(f"{SMALL}/documents.parquet").select("lang", "source").na.fill("").distinct()
+        assert {(r.lang, r.source) for r in rows if r.part == "pair"} == {tuple(r) for r in groups.collect()}
+    else:
+        assert len(rows) == spark.read.parquet(f"{SMALL}/{table}.parquet").count() and key in got.columns
     if name in Q.ORACLES:
         con = duckdb.connect()
         for t in ("documents", "pages", "benchmark", "labels"):
@@ -149,4 +163,4 @@ def test_queries_run_over_whole_tables(spark, name):
 
 def test_entry_names_all():
     assert set(Q.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
