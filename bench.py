@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from cellweft import queries as own
 
 HEADLINE = [
-    "fragment_counts", "clean_cells", "count_thresholds", "whitelist_semi", "cell_feature_counts", "fixed_bins", "peak_counts", "log1p_norm", "overlap_join",
+    "fragment_counts", "clean_cells", "count_thresholds", "whitelist_semi", "cell_feature_counts", "fixed_bins", "region_scores", "peak_counts", "log1p_norm", "overlap_join",
     "window_distance_join", "nearest_k_per_bin", "guidance_edges", "tfidf", "gene_score_product", "knn_topk", "label_transfer", "silhouette", "rank_average", "nb2_dispersion", "evidence_support", "pileup",
 ]
 
