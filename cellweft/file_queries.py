@@ -34,7 +34,11 @@ def _tsv(df: DataFrame, name: str, header: bool = True) -> str:
 
 
 def _file(s: SparkSession, name: str) -> str:
-    path = Path(scratch(s, name).removeprefix("file://"))
+    """A path for a file that the driver writes, which takes a mounted folder."""
+    where = scratch(s, name).removeprefix("file://")
+    if not where.startswith("/"):
+        raise ValueError(f"{where} is not a mounted folder: single files cannot be written there")
+    path = Path(where)
     path.mkdir(parents=True)
     return str(path / name)
 

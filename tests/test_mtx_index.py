@@ -78,3 +78,11 @@ def test_unsorted_pattern_and_odd_files(spark, tmp_path):
     (tmp_path / "n.mtx").write_text("% nothing\n")
     with pytest.raises(SchemaError, match="size line"):
         mtx_index.index(spark, str(tmp_path / "n.mtx"))
+
+
+def test_single_files_need_a_mounted_folder(spark, monkeypatch):
+    from cellweft import file_queries
+
+    monkeypatch.setattr(file_queries, "scratch", lambda s, name: f"s3://bucket/{name}")
+    with pytest.raises(ValueError, match="mounted"):
+        file_queries._file(spark, "x")
