@@ -98,6 +98,17 @@ def test_region_scores_edge_cases(spark):
     assert raw["c1", "r1"] == 2.0
 
 
+def test_region_scores_pairs_of_cells_and_regions_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(counting, "REGION_PAGE", 10)
+    entries = spark.range(40).selectExpr("id as cell", "concat('b', id % 7) as feature", "cast(id + 1 as double) as value")
+    pairs = spark.range(7).selectExpr("concat('r', id * 3) as region", "concat('b', id) as feature")
+    got = counting.region_scores(entries, pairs, spark.range(30).selectExpr("concat('r', id) as region"), entries.select("cell"), mode="raw_counts")
+    assert {(r.cell, r.region): r.score for r in got.collect()} == {(c, f"r{r}"): (c + 1.0 if r == c % 7 * 3 else 0.0) if r % 3 == 0 and r < 21 else None for c in range(40) for r in range(30)}
+    # nothing is exchanged once pages have been opened
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("Generate")]
+
+
 def test_column_stats_edge_cases(spark):
     nan = float("nan")
     long = spark.createDataFrame([("one", 3.0), ("void", None), ("void", nan), ("mix", 0.0), ("mix", 2.0), ("mix", None)], "variable string, value double")
