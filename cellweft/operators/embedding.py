@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from ..recovery import keep
-from . import matrix
+from . import components, matrix
 from .places import numbered
 
 
@@ -42,39 +36,20 @@ def variable_by_dispersion(moments: DataFrame, k: int, bins: int = 20) -> DataFr
     return scored.orderBy(F.desc("score"), "feature").limit(k).select("feature", "score")
 
 
-def vectors(entries: DataFrame, features: DataFrame) -> DataFrame:
-    """(cell, features) with sparse vectors; ``features`` is (feature, idx).
-
-    They are stored, as fits read them again and again, and read back as vectors of the same layout, so no row passes
-    through Python.
-    """
-    n = features.count()
-    entry = F.struct(F.col("idx").cast("int").alias("idx"), F.col("value").cast("double").alias("value"))
-    rows = entries.join(features.select("feature", "idx"), "feature").groupBy("cell").agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(n).alias("size"), F.col("e.idx").alias("indices"), F.col("e.value").alias("values"))
-    laid_out = rows.select("cell", sparse.alias("features"))
-    return keep(laid_out, "vectors", StructType([laid_out.schema["cell"], StructField("features", VectorUDT())]))
-
-
 def pca(entries: DataFrame, features: DataFrame, k: int = 50, scale: bool = True) -> DataFrame:
-    """(cell, emb): principal components of standardised columns; signs are arbitrary."""
-    data = vectors(entries, features)
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=scale).fit(data)
-    data = scaler.transform(data)
-    model = PCA(k=k, inputCol="scaled", outputCol="pc").fit(data)
-    return model.transform(data).select("cell", vector_to_array("pc").alias("emb"))
+    """(cell, emb): principal components of standardised columns; signs are arbitrary, constant columns count for nothing."""
+    entries = keep(entries.join(features.select("feature"), "feature", "left_semi"), "pca")
+    if scale:
+        moments = feature_moments(entries, max(1, entries.select("cell").distinct().count()))
+        # what sums leave of a constant column is rounding
+        times = F.when(F.col("variance") > 1e-12 * F.col("mean") * F.col("mean"), 1 / F.sqrt("variance")).otherwise(0.0)
+        entries = entries.join(moments.select("feature", times.alias("_times")), "feature").select("cell", "feature", (F.col("value") * F.col("_times")).alias("value"))
+    return components.project(entries, features, k, centred=True)
 
 
 def lsi(entries: DataFrame, n_cells: int, features: DataFrame, k: int = 50) -> DataFrame:
     """(cell, emb): left singular vectors times singular values of the TF-IDF matrix."""
-    weighed = keep(matrix.tf_idf(entries, n_cells), "tfidf")
-    rows = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors(weighed, features).select("features"), "features"))
-    right = rows.computeSVD(k, computeU=False).V.toArray()
-    basis = entries.sparkSession.createDataFrame([(i, row.tolist()) for i, row in enumerate(right)], "idx int, basis array<double>")
-    # an entry beside its feature's row of the basis; sums are combined before the shuffle
-    long = weighed.join(features.select("feature", "idx").join(basis, "idx"), "feature")
-    sums = long.groupBy("cell").agg(*(F.sum(F.col("value") * F.get("basis", F.lit(j))).alias(f"s{j}") for j in range(right.shape[1])))
-    return sums.select("cell", F.array(*(f"s{j}" for j in range(right.shape[1]))).alias("emb"))
+    return components.project(matrix.tf_idf(entries, n_cells), features, k)
 
 
 def scale_and_clip(long: DataFrame, most: float = 10.0) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweft import recovery
-from cellweft.operators import clusters, embedding, joins, latent, layout, matrix
+from cellweft.operators import clusters, components, embedding, joins, latent, layout, matrix
 from cellweft.schema import SchemaError
 from cellweft.sources import discovery, hdf5
 
@@ -117,6 +117,29 @@ def test_lengths_of_embeddings_are_those_of_a_plain_decomposition(spark):
     assert np.allclose([got[i] for i in range(12)], np.linalg.norm(t @ right[:3].T, axis=1))
 
 
+@pytest.mark.parametrize("shape", [(60, 90), (90, 60)])
+def test_components_of_either_side_are_found_without_a_gram_matrix(spark, monkeypatch, shape):
+    monkeypatch.setattr(components, "DENSE", 4)
+    x = np.random.default_rng(5).poisson(0.7, shape).astype(float)
+    x[:, 0] = 3.0
+    e = spark.createDataFrame([(i, j, v) for i, r in enumerate(x.tolist()) for j, v in enumerate(r) if v], "cell int, feature int, value double")
+    f = spark.createDataFrame([(j, j) for j in range(shape[1])], "feature int, idx int")
+    z = (x - x.mean(0)) / np.where(x.std(0, ddof=1) > 0, x.std(0, ddof=1), 1)
+    for emb, m in ((embedding.pca(e, f, 4), z), (components.project(e, f, 4), x)):
+        u, sv, _ = np.linalg.svd(m, full_matrices=False)
+        assert np.allclose(np.abs([r.emb for r in emb.orderBy("cell").collect()]), np.abs(u[:, :4] * sv[:4]), atol=1e-5)
+
+
+def test_components_with_equal_values_and_more_columns_than_a_covariance_holds(spark, monkeypatch):
+    monkeypatch.setattr(components, "DENSE", 4)
+    blocks, wide = 30, 70_000
+    e = spark.range(blocks * 3).selectExpr("cast(id div 3 as int) as cell", "cast(id * 700 as int) as feature", "cast(id % 3 + 1 as double) as value")
+    f = spark.range(wide).selectExpr("cast(id as int) as feature", "cast(id as int) as idx")
+    got = np.array([r.emb for r in components.project(e, f, 5).collect()])
+    # every cell has columns of its own, so all singular values are the length of (1, 2, 3)
+    assert got.shape == (blocks, 5) and np.allclose(got.T @ got, 14 * np.eye(5), atol=1e-6)
+
+
 def test_no_local_folder_on_a_cluster(spark, monkeypatch):
     class Context:
         master = "spark://host:7077"
