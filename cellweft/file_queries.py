@@ -1,7 +1,7 @@
 """Driver queries that send the stand-ins through files: a writer, then the reader under test.
 
-Files lie in the shared folder.  Formats whose writer makes one file are written by the driver, so for these that
-folder must be mounted; all others are written by the executors.
+Files lie in the shared folder.  Formats whose writer makes one file lay parts into it by their bytes, so for these that
+folder must be mounted.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def _tsv(df: DataFrame, name: str, header: bool = True) -> str:
 
 
 def _file(s: SparkSession, name: str) -> str:
-    """A path for a file that the driver writes, which takes a mounted folder."""
+    """A path for a single file, which takes a mounted folder."""
     where = scratch(s, name).removeprefix("file://")
     if not where.startswith("/"):
         raise ValueError(f"{where} is not a mounted folder: single files cannot be written there")

@@ -1,8 +1,9 @@
 """TSV, BED, MatrixMarket, GraphML, JSON and Markdown sinks.
 
-Writers of one file order rows in Spark and stream them through the driver a
-partition at a time, so the driver never holds a table; folder writers leave the
-files to Spark's committer.
+Writers of one file order rows in Spark, whose tasks write them as parts below the
+shared folder; the parts are then laid end to end, by tasks where the file itself lies
+in the shared folder and it is mounted, else by the driver as a copy of bytes.  No row goes
+to the driver.  Folder writers leave the files to Spark's committer.
 """
 
 from __future__ import annotations
@@ -10,19 +11,80 @@ from __future__ import annotations
 import gzip
 import json
 import math
-from collections.abc import Iterable, Iterator
+import os
+import re
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from ..functions import intervals
 from ..operators.places import numbered
-
-
-def _open(path: str | Path):
-    return gzip.open(path, "wt", newline="\n") if str(path).endswith(".gz") else open(path, "w", newline="\n")
+from ..recovery import scratch, shared_dir
+
+#: Bytes that are copied at once.
+COPIED = 1 << 22
+
+
+def _parts(df: DataFrame, line: Callable[[Row], str], compressed: bool) -> tuple[list[tuple[str, int]], int]:
+    """Part files (path and bytes) with the line of each row, in the order of ``df``, and the number of rows."""
+    spark = df.sparkSession
+    folder, seen = scratch(spark, "lines"), Observation()
+    lines = spark.createDataFrame(df.rdd.map(lambda row: (line(row),)), "value string", verifySchema=False)
+    lines.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "gzip" if compressed else "none").text(folder)
+    store, at = fs.FileSystem.from_uri(folder)
+    found = [(int(n[1]), f.path, f.size) for f in store.get_file_info(fs.FileSelector(at)) if f.size and (n := re.match(r"part-(\d+)", f.base_name))]
+    return [(f"{folder}/{path.rsplit('/', 1)[1]}", size) for _, path, size in sorted(found)], seen.get["n"]
+
+
+def _copy(part: str, path: str, begin: int) -> None:
+    """Lay a part into a file from a byte on."""
+    store, at = fs.FileSystem.from_uri(part)
+    with store.open_input_stream(at, compression=None) as source, open(path, "r+b") as out:
+        out.seek(begin)
+        while some := source.read(COPIED):
+            out.write(some)
+
+
+def _write(path: str | Path, *sections: str | tuple[DataFrame, Callable[[Row], str]]) -> int:
+    """One file of texts and of lines of rows, one section after the other; returns the number of rows."""
+    path, compressed, rows, begin, spark = str(path), str(path).endswith(".gz"), 0, 0, None
+    copies: list[tuple[str, str, int]] = []
+    with open(path, "wb") as out:
+        for section in sections:
+            if isinstance(section, str):
+                text = section.encode()
+                text = gzip.compress(text) if compressed else text
+                out.seek(begin)
+                out.write(text)
+                begin += len(text)
+                continue
+            spark = section[0].sparkSession
+            parts, n = _parts(*section, compressed)
+            rows += n
+            for part, size in parts:
+                copies.append((part, path, begin))
+                begin += size
+        out.truncate(begin)
+    shared = shared_dir(spark).removeprefix("file://") if copies else ""
+    if shared.startswith("/") and Path(path).resolve().is_relative_to(Path(shared).resolve()):
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for c in batch.to_pylist():
+                    _copy(c["part"], c["path"], c["begin"])
+                yield batch.select(["begin"])
+
+        todo = spark.createDataFrame(copies, "part string, path string, begin bigint").repartition(len(copies))  # a row a part
+        todo.mapInArrow(run, "begin bigint").count()
+    else:
+        for c in copies:
+            _copy(*c)
+    return rows
 
 
 def _text(x: object) -> str:
@@ -34,14 +96,7 @@ def _text(x: object) -> str:
 def write_tsv(df: DataFrame, path: str | Path, order: list[str | Column] | None = None, header: bool = True) -> int:
     """One TSV file with stable columns and order; returns the rows written."""
     df = df.orderBy(*order) if order else df
-    n = 0
-    with _open(path) as out:
-        if header:
-            out.write("\t".join(df.columns) + "\n")
-        for row in df.toLocalIterator(prefetchPartitions=True):
-            out.write("\t".join(map(_text, row)) + "\n")
-            n += 1
-    return n
+    return _write(path, "\t".join(df.columns) + "\n" if header else "", (df, lambda row: "\t".join(map(_text, row))))
 
 
 def write_tsv_folder(df: DataFrame, path: str, compression: str | None = None, header: bool = True) -> None:
@@ -83,33 +138,26 @@ def write_mtx(entries: DataFrame, cells: DataFrame, features: DataFrame, prefix:
     """PREFIX.mtx with PREFIX_barcodes.tsv and PREFIX_features.tsv; entries are (row_idx, col_idx, value)."""
     shape = (cells.count(), features.count(), entries.count())
     whole = entries.where(F.col("value") != F.floor("value")).isEmpty()
-    with _open(f"{prefix}.mtx") as out:
-        out.write(f"%%MatrixMarket matrix coordinate {'integer' if whole else 'real'} general\n%\n{shape[0]} {shape[1]} {shape[2]}\n")
-        for r in entries.select("row_idx", "col_idx", "value").orderBy("row_idx", "col_idx").toLocalIterator(prefetchPartitions=True):
-            out.write(f"{r.row_idx + 1} {r.col_idx + 1} {int(r.value) if whole else r.value}\n")
+    placed = entries.select("row_idx", "col_idx", "value").orderBy("row_idx", "col_idx")
+    head = f"%%MatrixMarket matrix coordinate {'integer' if whole else 'real'} general\n%\n{shape[0]} {shape[1]} {shape[2]}\n"
+    _write(f"{prefix}.mtx", head, (placed, lambda r: f"{r.row_idx + 1} {r.col_idx + 1} {int(r.value) if whole else r.value}"))
     _names(cells, "barcode", f"{prefix}_barcodes.tsv")
     _names(features, "feature", f"{prefix}_features.tsv")
     return shape
 
 
 def _names(df: DataFrame, title: str, path: str) -> None:
-    with _open(path) as out:
-        out.write(title + "\n")
-        for r in df.orderBy("idx").toLocalIterator():
-            out.write(f"{r[1]}\n")
+    _write(path, title + "\n", (df.orderBy("idx"), lambda r: f"{r[1]}"))
 
 
 def write_wide_matrix(long: DataFrame, path: str | Path, label: str = "feature", sep: str = "\t") -> None:
     """Feature by cell text in the order of col_pos and row_pos; values as they were read.
 
-    The cells are the header, so they are collected; rows stream.
+    The cells are the header, so they are collected; rows are written by tasks.
     """
     cells = [r.barcode for r in long.select("col_pos", "barcode").distinct().orderBy("col_pos").collect()]
     body = long.groupBy("row_pos", "feature").agg(F.array_sort(F.collect_list(F.struct("col_pos", "value"))).alias("v"))
-    with _open(path) as out:
-        out.write(sep.join([label, *cells]) + "\n")
-        for r in body.orderBy("row_pos").toLocalIterator():
-            out.write(sep.join([r.feature, *(x.value for x in r.v)]) + "\n")
+    _write(path, sep.join([label, *cells]) + "\n", (body.orderBy("row_pos"), lambda r: sep.join([r.feature, *(x.value for x in r.v)])))
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str | Path) -> None:
@@ -123,15 +171,15 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str | Path) -> None:
     def data(row, kind: str, skip: set[str]) -> str:
         return "".join(f'<data key="{kind}_{c}">{escape(_text(v))}</data>' for c, v in row.asDict().items() if c not in skip and v is not None)
 
-    with _open(path) as out:
-        out.write('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
-        out.writelines(k + "\n" for k in (*keys(nodes, "node", {"node"}), *keys(edges, "edge", {"source", "target"})))
-        out.write('<graph edgedefault="directed">\n')
-        for r in nodes.orderBy("node").toLocalIterator():
-            out.write(f"<node id={quoteattr(r.node)}>{data(r, 'node', {'node'})}</node>\n")
-        for r in edges.orderBy(*edges.columns).toLocalIterator():
-            out.write(f"<edge source={quoteattr(r.source)} target={quoteattr(r.target)}>{data(r, 'edge', {'source', 'target'})}</edge>\n")
-        out.write("</graph>\n</graphml>\n")
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n'
+    head += "".join(k + "\n" for k in (*keys(nodes, "node", {"node"}), *keys(edges, "edge", {"source", "target"}))) + '<graph edgedefault="directed">\n'
+    _write(
+        path,
+        head,
+        (nodes.orderBy("node"), lambda r: f"<node id={quoteattr(r.node)}>{data(r, 'node', {'node'})}</node>"),
+        (edges.orderBy(*edges.columns), lambda r: f"<edge source={quoteattr(r.source)} target={quoteattr(r.target)}>{data(r, 'edge', {'source', 'target'})}</edge>"),
+        "</graph>\n</graphml>\n",
+    )
 
 
 def write_json(summary: dict, path: str | Path) -> None:

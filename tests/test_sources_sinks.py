@@ -2,11 +2,13 @@ import gzip
 import io
 import tarfile
 import xml.etree.ElementTree as ET
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellweft import recovery
 from cellweft.schema import SchemaError
 from cellweft.sinks import tables
 from cellweft.sources import archive, bundle, delimited, discovery, mtx, toy
@@ -204,3 +206,19 @@ def test_folder_keeps_blanks_and_empty_text(spark, tmp_path):
     tables.write_tsv(df, tmp_path / "file.tsv")
     parts = [p.read_text() for p in (tmp_path / "folder").glob("part-*")]
     assert parts == [(tmp_path / "file.tsv").read_text()] == ["x\ty\n  \ta \n\tb\n\t c\n"]
+
+
+@pytest.mark.parametrize("inside", [True, False])
+@pytest.mark.parametrize("name", ["t.tsv", "t.tsv.gz"])
+def test_no_row_of_a_single_file_goes_to_the_driver(spark, tmp_path, monkeypatch, inside, name):
+    def fail(*a, **b):
+        raise AssertionError("rows go to the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", fail)
+    path = Path(recovery.scratch(spark, "single").removeprefix("file://")) if inside else tmp_path / "single"
+    path.mkdir(parents=True)
+    df = spark.range(5000).selectExpr("5000 - id as k", "if(id % 3 = 0, null, id / 7) as x", "concat('ä', id) as t").repartition(7)
+    assert tables.write_tsv(df, path / name, ["k"]) == 5000
+    data = (path / name).read_bytes()
+    lines = (gzip.decompress(data) if name.endswith(".gz") else data).decode().split("\n")
+    assert lines == ["k\tx\tt", *("\t".join([str(k), "" if (5000 - k) % 3 == 0 else str((5000 - k) / 7), f"ä{5000 - k}"]) for k in range(1, 5001)), ""]
