@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .places import weighed
+
 THETA_GRID = np.logspace(-2, 6, 200)
 ALPHA_GRID = np.logspace(-4, 4, 200)
 FLOOR, CAP = 1e-6, 1e6
@@ -16,23 +18,34 @@ _HALF_LOG_2PI = 0.5 * np.log(2 * np.pi)
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
-    """log Gamma of positive numbers: Stirling's series above 8, shifted there from below."""
+    """log Gamma of positive numbers: Stirling's series above 8, shifted there from below by a product of eight factors."""
     x = np.asarray(x, float)
-    shift = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(8):
-        low = y < 8
-        shift = np.where(low, shift - np.log(np.where(low, y, 1.0)), shift)
-        y = np.where(low, y + 1, y)
+    low = x < 8
+    y = np.where(low, x + 8, x)
     inv = 1 / (y * y)
     series = (1 / 12 - inv * (1 / 360 - inv * (1 / 1260 - inv * (1 / 1680 - inv / 1188)))) / y
-    return shift + (y - 0.5) * np.log(y) - y + _HALF_LOG_2PI + series
+    out = np.array((y - 0.5) * np.log(y) - y + _HALF_LOG_2PI + series)
+    # x (x + 1) ... (x + 7), the factors paired from both ends
+    t = x[low] * (x[low] + 7)
+    out[low] -= np.log(t) + np.log((t + 6) * (t + 10) * (t + 12))
+    return out[()]
+
+
+def middle(df: DataFrame, column: str) -> float | None:
+    """The median of the positive numbers of a column: exact, from counts of distinct values over range partitions."""
+    counts = df.where(F.col(column) > 0).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    placed = weighed(counts, ["v"], "n", "before")
+    total = placed.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    ends = (total - 1) // 2, total // 2
+    found = placed.where(" or ".join(f"(before <= {e} and {e} < before + n)" for e in ends)).orderBy("v").collect()  # two rows at most
+    return (found[0].v + found[-1].v) / 2
 
 
 def size_factors(cells: DataFrame) -> DataFrame:
     """``size`` of each cell: library over the median positive library (at least 1), at least 1e-6."""
-    middle = cells.agg(F.greatest(F.median(F.when(F.col("library") > 0, F.col("library"))), F.lit(1.0)).alias("_mid"))
-    return cells.join(F.broadcast(middle)).withColumn("size", F.greatest(F.col("library") / F.col("_mid"), F.lit(FLOOR))).drop("_mid")
+    return cells.withColumn("size", F.greatest(F.col("library") / F.lit(max(middle(cells, "library") or 1.0, 1.0)), F.lit(FLOOR)))
 
 
 def library_stats(cells: DataFrame) -> DataFrame:
@@ -57,13 +70,18 @@ def poisson_rates(long: DataFrame) -> DataFrame:
 def _log_likelihoods(y: np.ndarray, mu: np.ndarray) -> np.ndarray:
     """Sums over cells: Poisson, then NB2 at each theta, then NB1 at each alpha."""
     mu = np.maximum(mu, 1e-12)
-    base = lgamma(y + 1)
-    poisson = (y * np.log(mu) - mu - base).sum()
+    # counts repeat, so what depends on them and the grid alone is found once for each
+    distinct, times = np.unique(y, return_counts=True)
+    base = (lgamma(distinct + 1) * times).sum()
+    log_mu, total = np.log(mu), y.sum()
+    poisson = (y * log_mu - mu).sum() - base
     theta = THETA_GRID[:, None]
-    nb2 = (lgamma(y + theta) - lgamma(np.broadcast_to(theta, (len(theta), 1))) - base + theta * (np.log(theta) - np.log(theta + mu)) + y * (np.log(mu) - np.log(theta + mu))).sum(1)
+    gammas = ((lgamma(distinct + theta) - lgamma(theta)) * times).sum(1)
+    log_both = np.log(theta + mu)
+    nb2 = gammas - base + (theta * (np.log(theta) - log_both) + y * (log_mu - log_both)).sum(1)
     alpha = ALPHA_GRID[:, None]
     r = mu / alpha
-    nb1 = (lgamma(y + r) - lgamma(r) - base + r * -np.log1p(alpha) + y * (np.log(alpha) - np.log1p(alpha))).sum(1)
+    nb1 = (lgamma(y + r) - lgamma(r)).sum(1) - base - r.sum(1) * np.log1p(ALPHA_GRID) + total * (np.log(ALPHA_GRID) - np.log1p(ALPHA_GRID))
     return np.concatenate([[poisson], nb2, nb1])
 
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweft import recovery
-from cellweft.operators import clusters, components, embedding, joins, latent, layout, matrix
+from cellweft.operators import clusters, components, embedding, families, joins, latent, layout, matrix
 from cellweft.schema import SchemaError
 from cellweft.sources import discovery, hdf5
 
@@ -117,6 +117,28 @@ def test_lengths_of_embeddings_are_those_of_a_plain_decomposition(spark):
     assert np.allclose([got[i] for i in range(12)], np.linalg.norm(t @ right[:3].T, axis=1))
 
 
+def test_median_library_is_exact_and_no_task_holds_all_of_it(spark):
+    for n in (1, 2, 7, 5000, 5001):
+        cells = spark.range(n).selectExpr("cast(if(id % 5 = 4, -id, (id * 7919 % 1013) / 3 + 1) as double) as library")
+        x = [r.library for r in cells.collect() if r.library > 0]
+        assert families.middle(cells, "library") == np.median(x)
+    assert families.middle(cells.where("library < 0"), "library") is None
+    plan = families.size_factors(cells)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "median" not in plan and "percentile" not in plan
+
+
+def test_log_gamma_takes_few_logarithms(monkeypatch):
+    from math import lgamma
+
+    x = 10 ** np.random.default_rng(2).uniform(-12, 7, 3000)
+    taken = []
+    log = np.log
+    monkeypatch.setattr(families.np, "log", lambda v: taken.append(np.size(v)) or log(v))
+    got = families.lgamma(x)
+    assert np.allclose(got, [lgamma(v) for v in x], rtol=1e-13, atol=1e-13) and families.lgamma(3.0) == pytest.approx(np.log(2.0))
+    assert sum(taken) <= 3 * len(x) + 4
+
+
 @pytest.mark.parametrize("shape", [(60, 90), (90, 60)])
 def test_components_of_either_side_are_found_without_a_gram_matrix(spark, monkeypatch, shape):
     monkeypatch.setattr(components, "DENSE", 4)
