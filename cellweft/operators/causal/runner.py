@@ -113,12 +113,13 @@ def run(long: DataFrame, spec: Spec, columns: list[str] | None = None, row: str
     """
     spark = long.sparkSession
     all_names = columns or select_columns(sorted(r.variable for r in long.select("variable").distinct().collect()), "raw_counts" if spec.method == "dagma" and quant_mode_of(spec.family) == "raw_counts" else "log1p")
-    own = long.where(F.col("variable").isin(*all_names))
+    # stored once: the screen, ranks and spreads each read it
+    own = keep(long.select(row, "variable", "value").where(F.col("variable").isin(*all_names)), "long")
     names, reasons = screened(own, spec)
     dropped = {r.variable: r.drop_reason for r in reasons.where("drop_reason is not null").collect()}
     if len(names) < 2:
         raise ValueError("fewer than two variables are left")
-    own = transforms.complete_rows(own.where(F.col("variable").isin(*names)), len(names), row)
+    own = keep(transforms.complete_rows(own.where(F.col("variable").isin(*names)), len(names), row), "complete")
     if spec.method != "dagma":
         own = transforms.prepare(own, spec.transform, spec.standardise)
     wide = matrix.to_wide(own, row, names).na.drop(subset=names)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..recovery import looked_up
 from .places import weighed
 
 
@@ -76,7 +77,7 @@ def zscore(df: DataFrame, key: str, value: str, out: str = "z") -> DataFrame:
 
     Statistics are a grouped aggregate joined back, so a large key isn't sorted in one task.
     """
-    stats = df.groupBy(key).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    stats = looked_up(df.groupBy(key).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s")), "spreads")
     return df.join(stats, key).withColumn(out, F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
 
 
@@ -87,7 +88,7 @@ def average_rank(df: DataFrame, key: str, value: str, out: str = "rank") -> Data
     """
     counts = df.groupBy(F.col(key).alias("_k"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     placed = weighed(counts, ["_k", "_v"], "_n", "_before")
-    first = placed.groupBy(F.col("_k").alias("_key")).agg(F.min("_before").alias("_first"))
+    first = looked_up(placed.groupBy(F.col("_k").alias("_key")).agg(F.min("_before").alias("_first")), "first-places")
     ranks = placed.join(first, F.col("_k").eqNullSafe(F.col("_key"))).select("_k", "_v", (F.col("_before") - F.col("_first") + (F.col("_n") + 1) / 2).alias(out))
     return df.drop(out).join(ranks, F.col(key).eqNullSafe(F.col("_k")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_k", "_v")
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..recovery import looked_up
 from .matrix import average_rank, zscore
 
 _EDGE = 1e-6
@@ -44,7 +45,7 @@ def normal_quantile(p: Column) -> Column:
 
 def rank_gaussian(long: DataFrame, key: str = "variable", value: str = "value", out: str = "value") -> DataFrame:
     """Normal scores of average ranks: (rank - 0.5) / n, kept off 0 and 1."""
-    n = long.groupBy(key).agg(F.count(value).alias("_n"))
+    n = looked_up(long.groupBy(key).agg(F.count(value).alias("_n")), "counts")
     ranked = average_rank(long.where(F.col(value).isNotNull()), key, value, "_rank").join(n, key)
     p = F.least(F.greatest((F.col("_rank") - 0.5) / F.col("_n"), F.lit(_EDGE)), F.lit(1 - _EDGE))
     return ranked.withColumn(out, normal_quantile(p)).drop("_rank", "_n")
@@ -56,7 +57,7 @@ def standardise(long: DataFrame) -> DataFrame:
 
 def centre_and_scale(long: DataFrame) -> DataFrame:
     """z-scores; columns without spread are centred only."""
-    stats = long.groupBy("variable").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
+    stats = looked_up(long.groupBy("variable").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s")), "spreads")
     scale = F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(1.0))
     return long.join(stats, "variable").withColumn("value", (F.col("value") - F.col("_m")) / scale).drop("_m", "_s")
 

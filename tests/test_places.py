@@ -86,3 +86,16 @@ def test_permuted_pairs_keep_each_group(spark):
     assert Counter((r.type, r.cell) for r in got.collect()) == Counter((r.type, r.cell) for r in df.collect())
     assert {r.sample_id: r.cell for r in got.collect()} != {r.sample_id: r.cell for r in df.collect()}
     assert sorted(map(str, got.collect())) == sorted(map(str, support.permuted_pairs(df, "cell", "type", 5).collect()))
+
+
+def test_few_large_keys_do_not_gather_rows(spark):
+    """Statistics of a key come to its rows, whatever Spark would choose by size."""
+    df = spark.range(600).select((F.col("id") % 2).cast("string").alias("variable"), (F.col("id") % 50).cast("double").alias("value")).repartition(6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for got in (matrix.zscore(df, "variable", "value"), transforms.centre_and_scale(df)):
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning(variable" not in plan
+            assert got.count() == 600
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
