@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..recovery import looked_up
+from ..recovery import keep, looked_up
 from .places import weighed
 
 
@@ -47,9 +47,24 @@ def top_features(entries: DataFrame, k: int) -> DataFrame:
     return entries.groupBy("feature").agg(F.sum("value").alias("total")).orderBy(F.desc("total"), "feature").limit(k)
 
 
-def gene_scores(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """Cells by genes from cells by peaks and (feature, gene, weight); zeros are left out."""
-    got = entries.join(links.select("feature", "gene", "weight"), "feature")
+#: Entries that a task of a product takes, on average.
+TASK_ENTRIES = 1 << 20
+
+
+def gene_scores(entries: DataFrame, links: DataFrame, task_entries: int = TASK_ENTRIES) -> DataFrame:
+    """Cells by genes from cells by peaks and (feature, gene, weight); zeros are left out.
+
+    Stored entries of more tasks than there are cores meet their links in as many tasks as their number asks for, so a task's
+    memory does not grow with the table. Entries of a feature that alone has more than a task's stay where they are, and the links of such features come to them.
+    """
+    entries, links = keep(entries.where("feature is not null").select("cell", "feature", "value"), "entries"), links.select("feature", "gene", "weight")
+    session = entries.sparkSession
+    width, usual = -(-entries.count() // task_entries), int(session.conf.get("spark.sql.shuffle.partitions"))
+    got = entries.join(links, "feature")
+    if width > session.sparkContext.defaultParallelism:
+        hot = F.broadcast(keep(entries.groupBy("feature").count().where(F.col("count") > task_entries).select("feature"), "hot"))
+        apart = entries.join(hot, "feature", "left_anti").repartition(max(width, usual), "feature").join(links.repartition(max(width, usual), "feature"), "feature")
+        got = apart.unionByName(entries.join(hot, "feature", "left_semi").join(looked_up(links.join(hot, "feature", "left_semi"), "hot-links"), "feature"))
     return got.groupBy("cell", "gene").agg(F.sum(F.col("value") * F.col("weight")).alias("value")).where("value <> 0")
 
 
