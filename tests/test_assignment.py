@@ -58,3 +58,35 @@ def test_odd_inputs(spark):
         assignment.match(anchors, cells.where("id <> 10000"))
     with pytest.raises(SchemaError, match="choose fewer"):
         assignment.match(anchors, cells, most=4)
+
+
+def test_points_are_solved_without_a_matrix():
+    rng = np.random.default_rng(6)
+    for n, m, kind in ((1, 1, 0), (30, 30, 0), (40, 90, 0), (60, 60, 1), (50, 50, 2), (20, 21, 3)):
+        x, y = rng.normal(size=(n, 3)), rng.normal(size=(m, 3))
+        if kind == 1:  # ties
+            x, y = np.round(x), np.round(y)
+        elif kind == 2:  # all want the same few
+            y = np.concatenate([y[:10] * 0.1, y[10:] + 9])
+        elif kind == 3:
+            y[:] = 1.0
+        cost = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+        best = cost[np.arange(n), assignment.solve(cost)].sum()
+        for held in (10**9, n * 2):
+            own, proved = assignment.solve_points(x, y, 2, held)
+            assert len(set(own.tolist())) == n
+            assert cost[np.arange(n), own].sum() == pytest.approx(best, abs=1e-9) == proved
+
+
+def test_marks_that_need_more_candidates_than_are_doubled_are_solved_whole(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(assignment, "DOUBLED", 100)
+    x = rng.normal(size=(40, 3)) * 0.1
+    marks = {"even": rng.normal(size=(40, 3)), "crowd": np.concatenate([rng.normal(size=(12, 3)) * 0.1, rng.normal(size=(60, 3)) + 5]), "near": np.concatenate([x, x + 9])}
+    anchors, cells = frames(spark, x, marks)
+    got = assignment.match(anchors, cells, k=2, most=100).collect()
+    for m, y in marks.items():
+        own = [r for r in got if r.mark == m]
+        assert len({r.sample_id for r in own}) == len({r.matched_cell for r in own}) == 40
+        assert sum(r.match_distance for r in own) == pytest.approx(dense(x, y))
+        assert all(r.match_distance == pytest.approx(np.linalg.norm(x[int(r.sample_id[1:])] - y[r.matched_cell % 10_000])) for r in own)
